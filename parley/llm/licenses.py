@@ -173,6 +173,8 @@ def detect(words: Column, signatures: list[Rule]) -> Column:
     keys = F.array(*map(F.lit, anchors))
     n_words = lambda s: (F.char_length(s) - F.char_length(F.replace(s, F.lit(" "), F.lit("")))).cast("bigint")
 
+    extract = lambda s, p: F.call_function("regexp_extract", s, p, F.lit(0))
+
     def at_place(i: Column) -> Column:
         """Detections of the rules whose anchor is word i (from 1)."""
         before = F.when(i > 1, F.slice(words, F.greatest(i - BEFORE, F.lit(1)), F.least(i - 1, F.lit(BEFORE)))).otherwise(F.array().cast("array<string>"))
@@ -187,8 +189,8 @@ def detect(words: Column, signatures: list[Rule]) -> Column:
                 ),
                 lambda r: let(
                     F.struct(
-                        ((i - 1).cast("bigint") - n_words(F.ltrim(F.regexp_extract(ctx["l"], r["left"], 0)))).alias("start"),
-                        ((i - 1).cast("bigint") + n_words(F.regexp_extract(ctx["r"], r["right"], 0))).alias("end"),
+                        ((i - 1).cast("bigint") - n_words(F.ltrim(extract(ctx["l"], r["left"])))).alias("start"),
+                        ((i - 1).cast("bigint") + n_words(extract(ctx["r"], r["right"]))).alias("end"),
                     ),
                     lambda p: F.struct(
                         p["start"].alias("start"), (-p["end"]).alias("reach"), r["priority"].alias("priority"), r["rule"].alias("rule"),

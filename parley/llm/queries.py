@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, quality_rules, secrets, simhash, url_filters
+from . import decontaminate, kneser_ney, licenses, mixing, quality_rules, secrets, simhash, stupid_backoff, token_counts, url_filters
 from .common import read
 
 
@@ -20,6 +20,16 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op4_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = stupid_backoff.score(read(spark, sf_dir, "documents", "doc_id", "text"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_score"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     return judged.select("doc_id", *quality_rules.STATS, "base_failed", "kept", "distance")
@@ -49,7 +59,23 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents", "doc_id", "text", "lang"), read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return kneser_ney.classify(docs, labels)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_source_mixing, op5_quality_rules, op6_url_filter, op7_secret_scan, op8_simhash, op9_decontamination)
+    for f in (
+        op1_license_scan,
+        op2_source_mixing,
+        op3_token_counts,
+        op4_backoff_scores,
+        op5_quality_rules,
+        op6_url_filter,
+        op7_secret_scan,
+        op8_simhash,
+        op9_decontamination,
+        op10_quality_model,
+    )
 }

@@ -73,7 +73,7 @@ def spans(text: Column, pattern: str, kind: str, gate: Column, keep=None) -> Col
 
 
 def base_spans(text: Column) -> dict[str, Column]:
-    value = lambda m: F.regexp_extract(m, F.lit(ASSIGN), 2)
+    value = lambda m: F.regexp_extract(m, ASSIGN, 2)
     return {
         "assign": spans(text, ASSIGN, "assign", text.rlike(ASSIGN_GATE), lambda m: F.char_length(value(m)) >= 12),
         "access": spans(text, ACCESS, "access", F.contains(text, F.lit("AKIA"))),
