@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema
 from ..functions import extract as ex
@@ -69,17 +70,17 @@ def is_decision(text: Column) -> Column:
     return has_decision_term(text) | is_regulation(text) | rx.search(text, lx.DISCOUNT)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def deadlines(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [] if t is None else ex.deadlines(t))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def names_in(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [] if t is None else sorted(ex.names_in(t)))
 
 
-@F.pandas_udf("struct<owner:string,acts:boolean>")
+@F.pandas_udf(T.StructType([T.StructField("owner", T.StringType()), T.StructField("acts", T.BooleanType())]))
 def owner_and_action(text: pd.Series, names: pd.Series) -> pd.DataFrame:
     owners = [ex.owner_of(t or "", list(n)) for t, n in zip(text, names, strict=True)]
     return pd.DataFrame({"owner": owners, "acts": [ex.is_actionable(t or "") for t in text]})

@@ -1,56 +1,43 @@
 """Transcripts as a stream: tasks of each meeting as its sentences arrive.
 
-An extension of the batch operators.  Rows of clean sentences arrive in any
-order; a meeting's state holds what has arrived, and each batch gives the
-meeting's tasks anew, so that the last rows of a meeting equal the batch
-result.  State goes when a meeting has been silent for ``quiet``.
+An extension of the batch operators.  Each micro-batch of clean sentences is
+added to a store under its batch number, and the tasks of the meetings that it
+touches are made anew from the store by the batch operator, so that a
+meeting's latest version equals the batch result whatever the order of
+arrival.  A batch that is run again overwrites its own files only.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from .. import schema
-from ..functions import extract as ex
-
-OUT = "source string, version int, task string, owner string, deadline string, start double, n int"
+from ..operators import meetings
 
 
-def read_sentences(spark: SparkSession, path: str) -> DataFrame:
+def read_sentences(spark: SparkSession, path: str, **options) -> DataFrame:
     """Clean sentences from JSON lines as files arrive."""
-    return spark.readStream.schema(schema.CLEAN).json(path)
-
+    return spark.readStream.schema(schema.CLEAN).options(**options).json(path)
 
-def tasks(sentences: DataFrame, quiet: str = "1 hour") -> DataFrame:
-    """(source, version, task, owner, deadline, start, n); the highest version of a source is its current list."""
 
-    millis = _millis(quiet)
+def tasks(sentences: DataFrame, store: str) -> DataStreamWriter:
+    """A writer that keeps ``store``/sentences and ``store``/tasks up to date; start it with a checkpoint and a trigger."""
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held, version = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, 0)
-        for pdf in frames:
-            for r in pdf.itertuples():
-                held[str(r.stt)] = [r.sach, bool(r.xa_giao), float(r.start)]
-        version += 1
-        state.update((json.dumps(held), version))
-        state.setTimeoutDuration(millis)
-        rows = [(int(k), *v) for k, v in sorted(held.items(), key=lambda kv: int(kv[0]))]
-        names = ex.order_names(n for _, text, *_ in rows for n in ex.names_in(text))
-        found = ex.tasks_of(rows, names)
-        yield pd.DataFrame([(key[0], version, t["task"], t["owner"], t["deadline"], t["start"], k) for k, t in enumerate(found)], columns=["source", "version", "task", "owner", "deadline", "start", "n"])
+    def update(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{store}/sentences/batch={number}")
+        touched = spark.read.parquet(f"{store}/sentences/batch={number}").select("source").distinct()
+        known = spark.read.parquet(f"{store}/sentences").filter(F.col("batch") <= number).drop("batch").dropDuplicates(["source", "stt"])
+        made = meetings.tasks(known.join(touched, "source", "left_semi"))
+        made.write.mode("overwrite").parquet(f"{store}/tasks/version={number}")
 
-    picked = sentences.select("source", "stt", "sach", "xa_giao", "start")
-    return picked.groupBy("source").applyInPandasWithState(update, OUT, "sentences string, version int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return sentences.writeStream.foreachBatch(update)
 
 
-def _millis(quiet: str) -> int:
-    number, unit = quiet.split()
-    return int(float(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1000)
+def latest(spark: SparkSession, store: str) -> DataFrame:
+    """Each meeting's tasks of its latest version."""
+    rows = spark.read.parquet(f"{store}/tasks")
+    last = rows.groupBy("source").agg(F.max("version").alias("version"))
+    return rows.join(last, ["source", "version"])
