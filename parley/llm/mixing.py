@@ -6,8 +6,8 @@ copies are drawn by the cube method: the fractional inclusion probabilities of
 three documents at a time move along the direction that keeps both their sum
 and the sum of their words, until one of them is 0 or 1.  Documents are dealt
 to blocks of bounded size by a hash; each block ends with at most two open
-documents, which are dealt anew until a source fits one block.  Its last open
-documents are landed on the choice that comes nearest the source's words.
+documents, which are dealt anew until a source fits one block.  Its last LANDING
+open documents are landed on the choice that comes nearest the source's words.
 
 Random numbers follow from hashes of the ids and a seed: reruns agree.
 
@@ -52,20 +52,21 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFram
     return df.withColumn("target", F.least("cap", F.coalesce(factor, F.lit(0.0)) * F.col("w"))).select("source", "source_size", "n_docs", "target")
 
 
-def flight(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Moves ``p`` to 0 or 1, keeping its sum and its sum weighted by ``size``; at most two stay open.
+def flight(size: np.ndarray, p: np.ndarray, u: np.ndarray, leave: int = 2) -> np.ndarray:
+    """Moves ``p`` to 0 or 1, keeping its sum and its sum weighted by ``size``; at most ``leave`` (two or more) stay open.
 
     ``u``: one uniform number for each row.
     """
     p = p.copy()
     held: list[int] = []
-    todo = iter(np.flatnonzero((p > 0) & (p < 1)).tolist())
+    opened = np.flatnonzero((p > 0) & (p < 1)).tolist()
+    todo, left = iter(opened), len(opened)
     step = 0
-    while True:
+    while left > leave:
         while len(held) < 3 and (k := next(todo, None)) is not None:
             held.append(k)
         if len(held) < 3:
-            return p
+            break
         a, b, c = held
         d = (size[c] - size[b], size[a] - size[c], size[b] - size[a])
         if not any(d):
@@ -80,7 +81,10 @@ def flight(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
                 p[i] = 0.0
             elif p[i] > 1 - 1e-9:
                 p[i] = 1.0
-        held = [i for i in held if 0 < p[i] < 1]
+        still = [i for i in held if 0 < p[i] < 1]
+        left -= len(held) - len(still)
+        held = still
+    return p
 
 
 def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -104,7 +108,7 @@ def _round(last: bool, seed: int):
         p = table.column("p").to_numpy()[order]
         first = int(table.column("key").to_numpy()[order][0]) & (2**63 - 1)
         u = np.random.default_rng([seed, first, len(size)]).random(len(size) + 1)
-        p = flight(size, p, u)
+        p = flight(size, p, u, LANDING if last else 2)
         if last:
             p = land(size, p)
         return pa.table({c: (pa.array(p) if c == "p" else table.column(c).take(pa.array(order))) for c in ("doc_id", "source", "size", "key", "p")})
