@@ -121,23 +121,35 @@ def bootstrap(pairs: DataFrame, **options) -> DataFrame:
     return pairs.groupBy("cfg").applyInPandas(of, "cfg string, diff double, low double, high double, verdict string")
 
 
-def upper_median(values: Column) -> Column:
-    """Element n div 2 of the sorted values."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, (F.size(ordered) / 2).cast("int"))
+def order_statistics(rows: DataFrame, group: str, value: str, **places: Column) -> DataFrame:
+    """(group, one column for each place): the value at a place from 0 in the group's sorted values.
 
+    ``places``: expressions of ``n``, the group's number of rows.  Values are
+    counted first and the counts run up, so no group's rows are gathered.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    run = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(group).orderBy(value))).withColumn("n", F.sum("c").over(Window.partitionBy(group)))
+    return run.groupBy(group).agg(*[F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in places.items()])
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """Element min(n - 1, int(share * n)) of the sorted values."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.least(F.size(ordered) - 1, F.floor(F.size(ordered) * share).cast("int")))
+
+def nearest_rank(share: float) -> Column:
+    """Place min(n - 1, int(share * n))."""
+    return F.least(F.col("n") - 1, F.floor(F.col("n") * share))
+
+
+def upper_median() -> Column:
+    """Place n div 2."""
+    return F.floor(F.col("n") / 2)
 
 
 def slow(rows: DataFrame) -> DataFrame:
     """Rows whose time by length is over three times the upper median, where there are five or more."""
-    rated = rows.withColumn("rtf", F.col("thoi_gian") / F.col("do_dai"))
-    bar = rated.agg(upper_median(F.col("rtf")).alias("bar"), F.count(F.lit(1)).alias("total"))
-    return rated.crossJoin(F.broadcast(bar)).filter((F.col("total") >= SLOW_LEAST) & (F.col("rtf") > F.col("bar") * SLOW_FACTOR)).drop("bar", "total")
+    rated = rows.withColumn("rtf", F.col("thoi_gian") / F.col("do_dai")).withColumn("__all", F.lit(1))
+    bar = order_statistics(rated, "__all", "rtf", bar=upper_median())
+    total = rated.groupBy("__all").agg(F.count(F.lit(1)).alias("total"))
+    # one row for the whole table
+    one = F.broadcast(bar.join(total, "__all"))
+    return rated.join(one, "__all").filter((F.col("total") >= SLOW_LEAST) & (F.col("rtf") > F.col("bar") * SLOW_FACTOR)).drop("bar", "total", "__all")
 
 
 def correction_effect(rows: DataFrame) -> DataFrame:

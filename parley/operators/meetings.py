@@ -145,7 +145,7 @@ def carry_topics(sentences: DataFrame, accepted: Column, text: Column, topic: Co
     has_title = F.col("__title").isNotNull() & ~F.contains(F.lower("__text"), F.lower("__title"))
     shown = F.when(has_title, F.concat(F.col("__title"), F.lit(": "), F.col("__text"))).otherwise(F.col("__text"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("stt", F.trim(shown).alias("t")))), lambda x: x["t"])
-    joined = F.aggregate(F.slice(parts, 2, 100_000), F.element_at(parts, 1), join_decision)
+    joined = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.element_at(parts, 1), join_decision)
     return rows.groupBy("source", "n").agg(joined.alias("text"), F.min_by("start", "stt").alias("start")).select("source", "text", "start", "n")
 
 

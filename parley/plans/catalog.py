@@ -529,9 +529,9 @@ def q44_two_quota_sample(spark, d):
 @query("""select lang, list_sort(list(n_chars))[cast(least(count(*) - 1, floor(0.5 * count(*))) as bigint) + 1] as p50, list_sort(list(n_chars))[cast(least(count(*) - 1, floor(0.95 * count(*))) as bigint) + 1] as p95,
 list_sort(list(n_chars))[cast(least(count(*) - 1, floor(0.99 * count(*))) as bigint) + 1] as p99, max(n_chars) as top, list_sort(list(n_chars))[count(*) // 2 + 1] as upper_median from documents group by lang""")
 def q45_percentile_nearest(spark, d):
-    n = F.col("n_chars")
-    ranks = [evaluate.nearest_rank(n, p).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)]
-    return table(spark, d, "documents").groupBy("lang").agg(*ranks, F.max(n).alias("top"), evaluate.upper_median(n).alias("upper_median"))
+    rows = table(spark, d, "documents").select("lang", "n_chars")
+    places = {f"p{int(p * 100)}": evaluate.nearest_rank(p) for p in (0.5, 0.95, 0.99)}
+    return evaluate.order_statistics(rows, "lang", "n_chars", **places, top=F.col("n") - 1, upper_median=evaluate.upper_median())
 
 
 SETTINGS = ((8.0, 10.0), (10.0, 10.0), (12.0, 20.0), (15.0, 20.0), (15.0, 30.0), (20.0, 30.0), (25.0, 30.0))

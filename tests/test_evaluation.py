@@ -69,6 +69,12 @@ def test_bootstrap():
     assert low < 0 < high
 
 
+def test_slow_rows(spark):
+    rows = [("a", 1.0, 1.0), ("b", 1.0, 1.1), ("c", 1.0, 1.2), ("d", 1.0, 1.3), ("e", 1.0, 9.0)]
+    df = spark.createDataFrame(rows, "id string, do_dai double, thoi_gian double")
+    assert [r.id for r in evaluate.slow(df).collect()] == ["e"] and evaluate.slow(df.filter("id <> 'a'")).count() == 0
+
+
 def test_turns(spark):
     turns = [(0.0, 2.0), (3.0, 4.0), (5.0, 9.0), (30.0, 31.0), (32.0, 55.0)]
     df = spark.createDataFrame([(turns,), ([],)], f"t {segments.TURNS}")
