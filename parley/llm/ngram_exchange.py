@@ -14,6 +14,8 @@ from .common import ALNUM
 #: Text bytes of a chunk.
 CHUNK_BYTES = 12 << 20
 SEED = 42
+#: Hashes of words and n-grams have so many bits; what chunks exchange is mostly those.
+BITS = 60
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -71,13 +73,13 @@ class Chunk:
         distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
         self._set(
             coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
-            np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in distinct), np.uint64, len(distinct)),
+            np.fromiter((xxhash.xxh64_intdigest(w, SEED) >> 64 - BITS for w in distinct), np.uint64, len(distinct)),
             pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64),
         )
 
     def _set(self, ids: np.ndarray, hashes: np.ndarray, lengths: np.ndarray) -> None:
         self.ids, self.hashes, self.lengths = ids, hashes, lengths
-        self.doc = np.repeat(np.arange(len(lengths)), lengths)
+        self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
 
     @classmethod
     def of_ids(cls, ids: np.ndarray, hashes: np.ndarray, lengths: np.ndarray) -> "Chunk":
@@ -91,6 +93,8 @@ class Chunk:
         out = h[: max(0, len(h) - order + 1)]
         for k in range(1, order):
             out = mix(out, h[k : len(h) - order + 1 + k])
+        if order > 1:
+            out = out >> np.uint64(64 - BITS)
         last = np.arange(order - 1, len(h))
         same = self.doc[last - order + 1] == self.doc[last]
         return out[same], last[same]

@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_bytes, slices
-from .ngram_exchange import CHUNK_BYTES, Chunk, narrow, pack, pack_bytes, unpack, unpack_bytes
+from .ngram_exchange import BITS, CHUNK_BYTES, Chunk, narrow, pack, pack_bytes, unpack, unpack_bytes
 
 ORDER = 3
 ALPHA = 0.4
 #: Text bytes of the corpus for each hash shard.
 SHARD_BYTES = 24 << 20
-#: ord 1..: an n-gram request or answer; 0: the chunk's words.  Unigrams are asked of every shard,
-#: and those answers bear the shard's total of words as their grams.
+#: ord 1..: an n-gram request or answer; 0: the chunk's words.  Unigrams are asked of every shard;
+#: those answers repeat the hashes asked for and bear the shard's total of words.
 WIRE = "shard int, chunk string, ord int, grams binary, counts binary, words binary, ids binary"
 NAMES = ["shard", "chunk", "ord", "grams", "counts", "words", "ids"]
 
@@ -71,7 +71,7 @@ def _requests(id_col: str, text_col: str, order: int, shards: int):
         from pyspark import TaskContext
 
         task, number = TaskContext.get().partitionId(), 0
-        cuts = np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
+        cuts = np.array([(k << BITS) // shards for k in range(1, shards)], np.uint64)
         for batch in batches:
             texts = column_bytes(batch, text_col)
             for a, b in slices([len(t) for t in texts], CHUNK_BYTES):
@@ -84,7 +84,7 @@ def _requests(id_col: str, text_col: str, order: int, shards: int):
                     yield _batch([(s, name, n, pack(g), pack_bytes(narrow(c)), None, None) for s, (g, c) in enumerate(parts) if len(g) or n == 1])
                 rank = np.argsort(np.argsort(chunk.hashes))
                 words = pack_bytes(narrow(rank[chunk.ids]))
-                content = (0, pack(np.sort(chunk.hashes)), pack_bytes(narrow(chunk.lengths)), words, _ids_to_bytes(batch.column(id_col).slice(a, b - a)))
+                content = (0, None, pack_bytes(narrow(chunk.lengths)), words, _ids_to_bytes(batch.column(id_col).slice(a, b - a)))
                 yield _batch([((task + number) % shards, name, *content)])
 
     return run
@@ -105,23 +105,24 @@ def _answer(table):
         counts = np.concatenate([unpack_bytes(rows["counts"][i]).astype(np.int64) for i in mine])
         total = np.add.reduceat(counts[order], first) if len(flat) else counts
         words = int(counts.sum()).to_bytes(8, "little") if n == 1 else None
+        repeated = [rows["grams"][i] if n == 1 else None for i in mine]
         reply = np.empty(len(flat), np.int64)
         reply[order] = np.repeat(total, np.diff(first, append=len(flat)))
-        for i, part in zip(mine, np.split(reply, np.cumsum([len(x) for x in asked])[:-1]), strict=True):
-            out.append((rows["shard"][i], rows["chunk"][i], n, words, pack_bytes(narrow(part)), None, None))
+        for i, part, grams in zip(mine, np.split(reply, np.cumsum([len(x) for x in asked])[:-1]), repeated, strict=True):
+            out.append((rows["shard"][i], rows["chunk"][i], n, grams, pack_bytes(narrow(part)), words, None))
     out += [tuple(rows[c][i] for c in NAMES) for i, o in enumerate(rows["ord"]) if o == 0]
     return pa.Table.from_batches([_batch(out)])
 
 
-def _own(grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """How often each n-gram occurs in its own document, at each of its places."""
-    order = np.lexsort((grams, doc))
-    g, d = grams[order], doc[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
-    first = np.flatnonzero(new)
-    out = np.empty(len(g), np.int64)
-    out[order] = np.repeat(np.diff(first, append=len(g)), np.diff(first, append=len(g)))
+def _own(inverse: np.ndarray, doc: np.ndarray, distinct: int) -> np.ndarray:
+    """How often each n-gram occurs in its own document, at each of its places; ``inverse``: its number among ``distinct``."""
+    key = doc * np.int64(max(distinct, 1)) + inverse
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(first, append=len(key))
+    out = np.empty(len(key), np.int32)
+    out[order] = np.repeat(times, times)
     return out
 
 
@@ -133,7 +134,9 @@ def chunk_scores(chunk: Chunk, totals: dict[int, np.ndarray], n_total: int, orde
     for n in range(1, order + 1):
         grams, last = chunk.grams(n)
         inverse = np.unique(grams, return_inverse=True)[1]
-        c = totals[n][inverse] - _own(grams, chunk.doc[last]) if len(grams) else np.zeros(0, np.int64)
+        del grams
+        c = totals[n][inverse] - _own(inverse, chunk.doc[last], len(totals[n])) if len(last) else np.zeros(0, np.int64)
+        del inverse
         rest[n] = np.zeros(words, np.int64)
         rest[n][last] = c
         if n == 1:
@@ -151,13 +154,15 @@ def _finish(order: int):
 
         rows = table.to_pydict()
         at = rows["ord"].index(0)
-        hashes, lengths = unpack(rows["grams"][at]), unpack_bytes(rows["counts"][at]).astype(np.int64)
+        lengths = unpack_bytes(rows["counts"][at]).astype(np.int64)
+        own = sorted((rows["shard"][i], i) for i, o in enumerate(rows["ord"]) if o == 1)
+        hashes = np.concatenate([unpack(rows["grams"][i]) for _, i in own])
         chunk = Chunk.of_ids(unpack_bytes(rows["words"][at]).astype(np.int64), hashes, lengths)
         totals = {}
         for n in range(1, order + 1):
             mine = sorted((rows["shard"][i], i) for i, o in enumerate(rows["ord"]) if o == n)
             totals[n] = np.concatenate([unpack_bytes(rows["counts"][i]).astype(np.int64) for _, i in mine]) if mine else np.zeros(0, np.int64)
-        n_total = sum(int.from_bytes(rows["grams"][i], "little") for i, o in enumerate(rows["ord"]) if o == 1)
+        n_total = sum(int.from_bytes(rows["words"][i], "little") for i, o in enumerate(rows["ord"]) if o == 1)
         with pa.ipc.open_stream(rows["ids"][at]) as r:
             ids = r.read_all().column(0).combine_chunks()
         return pa.table({"doc_id": ids, "n_words": pa.array(lengths), "log_score": pa.array(chunk_scores(chunk, totals, n_total, order))})
