@@ -15,8 +15,7 @@
 Defined results.  Null or word-less texts have fingerprint zero and link like
 any other.  Repeated rows are separate documents with equal results; a null
 doc_id never names a component unless no member has an id.  An empty table
-gives an empty result.  Extra columns are ignored by ``link`` and kept by
-``deduplicate``.
+gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -280,16 +279,20 @@ def link(
     return skew_join(rows, of_node, "node", "left", hot=hot_keys(rows, "node")).select("doc_id", "fp", "component_id")
 
 
-#: Near-duplicate stages: five-word shingles at a similarity of 0.8, where fingerprints of 64 bits
-#: differ in ten bits on average and 256 bits in 39, standard deviation 6.
-NEAR = {"shingle": 5, "radius": 12, "lanes": 4, "total": 42, "shard": 65536}
-
-
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id.  Rows without an id are kept only
-    where their component has no id at all, then one of them.  Options of ``link``, by default NEAR."""
-    linked = link(docs, id_col=id_col, text_col=text_col, **(options or NEAR))
-    chosen = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.min("fp").alias("__fp"))
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
-    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.withColumn("__row", F.row_number().over(one)).filter("__row = 1").select(*docs.columns)
+    """``docs`` with one row of each component of near copies: the one with the smallest id.  Rows without an id are kept
+    only where their component has no id at all, then one of them.  Options of ``near_copies.components``."""
+    from . import near_copies
+
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    # nulls leave a hash as it is, so that their places are hashed, too
+    row = lambda k: F.xxhash64(F.lit(k), F.col(id_col).isNull(), F.col(text_col).isNull(), id_col, text_col, *plain)
+    keyed = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)], row(1).alias("__a"), row(2).alias("__b"))
+    at = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    name = F.col(at[id_col])
+    key = ["__a", "__b"]
+    found = near_copies.components(keyed, key=key, keep=[at[id_col]], text_col=at[text_col], **options)
+    best = found.groupBy("root").agg(F.min(at[id_col]).alias("__id")).select("__id").distinct()
+    one = Window.partitionBy(name).orderBy("__a", "__b")
+    kept = keyed.join(best, name.eqNullSafe(F.col("__id")), "left_semi").withColumn("__row", F.row_number().over(one)).filter("__row = 1")
+    return kept.select(*[F.col(at[c]).alias(c) for c in docs.columns])
