@@ -23,7 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_bytes, hot_keys, materialize, skew_join, slices, space_words
@@ -292,7 +292,6 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     name = F.col(at[id_col])
     key = ["__a", "__b"]
     found = near_copies.components(keyed, key=key, keep=[at[id_col]], text_col=at[text_col], **options)
-    best = found.groupBy("root").agg(F.min(at[id_col]).alias("__id")).select("__id").distinct()
-    one = Window.partitionBy(name).orderBy("__a", "__b")
-    kept = keyed.join(best, name.eqNullSafe(F.col("__id")), "left_semi").withColumn("__row", F.row_number().over(one)).filter("__row = 1")
+    best = found.groupBy("root").agg(F.min(F.struct(name.isNull().alias("none"), name.alias("id"), *key)).alias("best"))
+    kept = keyed.join(best.select("best.__a", "best.__b"), key, "left_semi").dropDuplicates(key)
     return kept.select(*[F.col(at[c]).alias(c) for c in docs.columns])

@@ -52,3 +52,14 @@ def test_links_are_those_of_all_pairs(spark):
     assert sorted(map(sorted, by.values())) == sorted(map(sorted, expected.values()))
     kept = {r.doc_id for r in simhash.deduplicate(rows).collect()}
     assert kept == {min(x) for x in expected.values()}
+
+
+def test_one_row_of_each_component(spark):
+    """Ids that are null or repeat neither lose a text nor keep a copy."""
+    rnd = random.Random(3)
+    make = lambda: " ".join(f"w{rnd.randrange(4000)}" for _ in range(80))
+    a, b, c, d, e = (make() for _ in range(5))
+    data = [(None, a, "en"), (None, b, "fr"), (None, b, "fr"), (1, c, "en"), (1, d, "en"), (1, d, "en"), (None, c, "en"), (2, d, "en"), (None, e, None), (3, e, "en")]
+    kept = simhash.deduplicate(spark.createDataFrame(data, COLUMNS)).collect()
+    want = [(None, a, "en"), (None, b, "fr"), (1, c, "en"), (1, d, "en"), (3, e, "en")]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
