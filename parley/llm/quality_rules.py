@@ -32,9 +32,9 @@ GRID = 256
 H = 0.75
 STEPS = 3
 MIN_GROUP = 200
-#: Squared Mahalanobis distance beyond which a document is an outlier: far out in the tail of
-#: the chi-square distribution with five degrees of freedom, as clean documents have long tails.
-CUTOFF = 200.0
+#: Squared Mahalanobis distance beyond which a document is an outlier: what chi-square with five degrees
+#: of freedom exceeds once in 10^8 draws, as clean documents have longer tails than the normal distribution.
+CUTOFF = 45.8
 #: Added to the scatter's diagonal, as a standard deviation: most statistics are zero for most texts.
 RIDGE = 0.25
 #: Distances are compared by bins of log(1 + d2), so many to a unit.

@@ -50,3 +50,13 @@ def test_outliers(spark):
     odd = [(1000 + i, " ".join("x" * 90 + str(j) + "###$$$%%%&&&***" * 4 for j in range(70)) + "\nq w\nq w" * 40, "en", "s0") for i in range(5)]
     got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(docs + odd, "doc_id bigint, text string, lang string, source string")).collect()}
     assert all(got[i] for i, *_ in docs) and not any(got[i] for i, *_ in odd)
+
+
+def test_parted_words_are_outliers(spark):
+    """Words parted by bars lie between the cutoff and 200."""
+    rnd = random.Random(8)
+    make = lambda: ["word" + str(rnd.randrange(500)) for _ in range(rnd.randrange(80, 160))]
+    docs = [(i, " ".join(make()), "en", f"s{i % 2}") for i in range(600)] + [(1000 + i, " ".join(w + " |" * (k % 2) for k, w in enumerate(make())), "en", "s0") for i in range(5)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(600))
+    assert all(not got[i].kept and not got[i].base_failed and got[i].distance < 200 for i in range(1000, 1005))
