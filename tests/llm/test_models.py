@@ -193,6 +193,18 @@ def test_classifier_tells_junk(spark):
     assert not any(got[i] for i, *_ in junk) and sum(got[i] for i, *_ in good) >= 390
 
 
+def test_thresholds_cover_all_trusted_documents(spark):
+    """A language of 1 % of the labels, but of over MIN_HELD documents, has its own bar."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    rare = lambda i: i % 100 == 0
+    docs = [(i, " ".join(f"{rnd.random()}" if rare(i) else rnd.choice(words) for _ in range(8)), "xx" if rare(i) else "en") for i in range(9000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(9000)], "doc_id bigint, quality int, toxic int")
+    got = kneser_ney.classify(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), labels, train_docs=40, quantile=0.5, margin=1.0).collect()
+    bar = {r.lang: r.threshold for r in got}
+    assert bar["xx"] > 2 * bar["en"]
+
+
 def test_markov_model_held_out(spark):
     rnd = random.Random(2)
     prose = (
