@@ -162,7 +162,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
     rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
 
     def judged(base: Column) -> Column:
-        free = F.filter(candidates, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+        free = F.filter(candidates, lambda c: ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
         random = F.when(F.size(candidates) > 0, let(model, lambda m: F.filter(free, lambda c: score(c["value"], m) > threshold))).otherwise(free)
         keyed = F.transform(F.concat(base, random), lambda s: F.struct(s["start"], rank(s["kind"]).alias("rank"), s["end"], s["kind"], s["value"]))
         return F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"], s["end"], s["kind"], s["value"]))

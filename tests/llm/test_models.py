@@ -229,6 +229,16 @@ def test_redact(spark):
     assert got == {1: 'é [secret]" end', 2: None, 3: "plain words", 4: ""}
 
 
+def test_redact_masks_a_token_around_a_base_span(spark):
+    """A random token that contains a hex run is masked whole, not only its run."""
+    rnd = random.Random(2)
+    prose = "the quick response parser reads every header of a message and keeps the list of items in one batch".split()
+    token = "Xk9Qz7LmP2vRgK5tW04dbebab91ab8568Tz5WqB3nYJ4hU8sQ1x"
+    data = [(i, " ".join(rnd.choice(prose) for _ in range(200))) for i in range(20)] + [(99, f"see {token} there")]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(data, "doc_id bigint, text string"), sample_docs=50).collect()}
+    assert got[99] == "see [secret] there" and sum("[secret]" in t for t in got.values()) == 1
+
+
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, k) for k in range(2001, 2100)] + [(7, 7)]
