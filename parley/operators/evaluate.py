@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +20,9 @@ TOP_PAIRS, TOP_WORDS, TOP_SEGMENTS, SPREAD = 30, 25, 15, 0.20
 SLOW_FACTOR, SLOW_LEAST = 3, 5
 # ---- end of fixed values --------------------------------------------------------------------
 
+#: Numbers that are drawn at a time.
+DRAWN = 1 << 22
+
 
 def scored(labels: DataFrame, results: DataFrame) -> DataFrame:
     """Labels joined to their results (id), with reference and hypothesis words and error counts by kind."""
@@ -99,26 +105,37 @@ def spread(rows: DataFrame, least: float = SPREAD) -> DataFrame:
     return df.filter(F.col("spread") >= least).orderBy(F.desc("spread"), "id")
 
 
-def interval(n, a, b, clusters=None, times: int = BOOTSTRAPS, seed: int = BOOTSTRAP_SEED) -> tuple[float, float, float]:
+def draws(clusters: np.ndarray, times: int = BOOTSTRAPS, seed: int = BOOTSTRAP_SEED) -> np.ndarray:
+    """Column sums of rows drawn with replacement, as many as there are, ``times`` over; a bounded block of draws at a time."""
+    rng, size = np.random.default_rng(seed), len(clusters)
+    step = max(1, DRAWN // size)
+    return np.concatenate([clusters[rng.integers(0, size, (min(step, times - k), size))].sum(axis=1) for k in range(0, times, step)])
+
+
+def interval(n, a, b, clusters=None, **options) -> tuple[float, float, float]:
     """Difference of pooled rates b - a and its 95 % interval, by drawing clusters with replacement."""
-    n, a, b = (np.asarray(x, float) for x in (n, a, b))
-    if clusters is not None:
-        code = pd.factorize(pd.Series(list(clusters)))[0]
-        n, a, b = (np.bincount(code, x) for x in (n, a, b))
-    drawn = np.random.default_rng(seed).integers(0, len(n), (times, len(n)))
-    diff = (b[drawn].sum(axis=1) - a[drawn].sum(axis=1)) / np.maximum(n[drawn].sum(axis=1), 1)
-    return float((b.sum() - a.sum()) / n.sum()), float(np.percentile(diff, LOW)), float(np.percentile(diff, HIGH))
+    rows = pd.DataFrame({"n": np.asarray(n, float), "a": np.asarray(a, float), "b": np.asarray(b, float)})
+    sums = (rows if clusters is None else rows.groupby(list(clusters), sort=False, dropna=False).sum()).to_numpy()
+    drawn, (words, before, after) = draws(sums, **options), sums.sum(axis=0)
+    low, high = np.percentile((drawn[:, 2] - drawn[:, 1]) / np.maximum(drawn[:, 0], 1), (LOW, HIGH))
+    return float((after - before) / words), float(low), float(high)
 
 
 def bootstrap(pairs: DataFrame, **options) -> DataFrame:
-    """(cfg, diff, low, high, verdict) from rows (cfg, ord, n, a, b, cluster)."""
+    """(cfg, diff, low, high, verdict) from rows (cfg, ord, n, a, b, cluster).
+
+    Rows are added up by cluster before they meet: a configuration brings one row for each cluster, in the order in
+    which the clusters first appear, and its draws are made in blocks of bounded size.
+    """
+    sums = [F.sum(c).cast("double").alias(c) for c in ("n", "a", "b")]
+    clusters = pairs.groupBy("cfg", "cluster").agg(F.min("ord").alias("ord"), *sums)
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        diff, low, high = interval(pdf["n"], pdf["a"], pdf["b"], pdf["cluster"], **options)
+        diff, low, high = interval(pdf["n"], pdf["a"], pdf["b"], **options)
         return pd.DataFrame([(pdf["cfg"].iloc[0], diff, low, high, "worse" if low > 0 else "better" if high < 0 else "unsure")], columns=["cfg", "diff", "low", "high", "verdict"])
 
-    return pairs.groupBy("cfg").applyInPandas(of, "cfg string, diff double, low double, high double, verdict string")
+    return clusters.groupBy("cfg").applyInPandas(of, "cfg string, diff double, low double, high double, verdict string")
 
 
 def order_statistics(rows: DataFrame, group: str, value: str, **places: Column) -> DataFrame:
@@ -173,83 +190,93 @@ def what_if(lengths: DataFrame, settings: list[tuple[float, float]], most: int =
 
 
 def plain(value) -> str:
-    return "" if value is None else " ".join(str(value).lower().split())
+    return re.sub(r"\s+", " ", "" if value is None else str(value)).strip().lower()
 
 
 def plain_deadline(value) -> str | None:
-    text = plain(value)
-    for prefix in DEADLINE_PREFIXES:
-        text = text.removeprefix(prefix)
-    return text or None
+    """A deadline without the words that lead it in, each of them once and in their order."""
+    return re.sub("^" + "".join(f"(?:{p})?" for p in DEADLINE_PREFIXES), "", plain(value)) or None
 
 
-def holds_all(text, words) -> bool:
+def missing_words(text, words) -> list[str]:
+    """Those of the words that the text doesn't hold."""
     base = plain(text)
-    return all(plain(w) in base for w in (words if words is not None else ()))
+    return [w for w in (() if words is None else words) if plain(w) not in base]
+
 
+def greedy(pairs) -> dict:
+    """One-to-one choice from ranked pairs (rank, left, right): the best pair whose ends are both free, and so on; left to (right, rank)."""
+    chosen, taken = {}, set()
+    for rank, left, right in sorted(pairs):
+        if left not in chosen and right not in taken:
+            chosen[left] = right, rank
+            taken.add(right)
+    return chosen
 
-def _fits(task: dict, label: dict) -> bool:
-    return plain(task["owner"]) == plain(label.get("chu")) and holds_all(task["task"], label.get("tu_khoa"))
 
+@dataclass(frozen=True)
+class Label:
+    """A labelled task in plain words."""
 
-def _is_forbidden(task: dict, label: dict) -> bool:
-    owner, words = label.get("chu"), label.get("tu_khoa")
-    words = [] if words is None else list(words)
-    return (owner is not None or bool(words)) and (owner is None or plain(owner) == plain(task["owner"])) and holds_all(task["task"], words)
+    owner: str | None
+    words: tuple[str, ...]
+    deadline: str | None = None
+    replaced: str | None = None
+
+    @classmethod
+    def of(cls, row: dict) -> "Label":
+        words = row.get("tu_khoa")
+        return cls(row.get("chu"), () if words is None else tuple(words), plain_deadline(row.get("han")), plain_deadline(row.get("han_bi_thay")))
+
+    def fits(self, task: dict) -> bool:
+        return plain(self.owner) == plain(task["owner"]) and not missing_words(task["task"], self.words)
+
+    def forbids(self, task: dict) -> bool:
+        """As ``fits``, but a label without owner forbids the task to all, and one without anything nothing."""
+        return bool(self.owner is not None or self.words) and (Label(task["owner"], self.words) if self.owner is None else self).fits(task)
+
+    def kind(self, task: dict) -> str:
+        date = plain_deadline(task["deadline"])
+        return RIGHT if date == self.deadline else OLD_DATE if date is not None and date == self.replaced else WRONG_DATE
 
 
 def match_tasks(required: list[dict], optional: list[dict], forbidden: list[dict], tasks: list[dict]) -> list[tuple[str, int | None, int | None]]:
-    """(kind, task, label) of each produced task and each missing label: a greedy one-to-one match, dates first."""
-    barred = {i for i, t in enumerate(tasks) if any(_is_forbidden(t, x) for x in forbidden)}
-    match: dict[int, tuple[int, str]] = {}
-    for with_date in (True, False):
-        for m, label in enumerate(required):
-            if m in match:
-                continue
-            for i, task in enumerate(tasks):
-                if i in barred or any(i == used for used, _ in match.values()) or not _fits(task, label):
-                    continue
-                date = plain_deadline(task["deadline"])
-                if with_date and date != plain_deadline(label.get("han")):
-                    continue
-                old = plain_deadline(label.get("han_bi_thay"))
-                match[m] = i, RIGHT if with_date else OLD_DATE if old is not None and date == old else WRONG_DATE
-                break
-    kind_of = {i: (kind, m) for m, (i, kind) in match.items()}
-    out: list[tuple[str, int | None, int | None]] = [(MISSING, None, m) for m in range(len(required)) if m not in match]
-    used: set[int] = set()
-    for i, task in enumerate(tasks):
-        if i in kind_of:
-            out.append((kind_of[i][0], i, kind_of[i][1]))
-        elif i in barred:
-            out.append((FORBIDDEN, i, None))
-        elif any(_fits(task, x) for x in required):
-            out.append((REPEATED, i, None))
-        else:
-            k = next((k for k, x in enumerate(optional) if _fits(task, x)), None)
-            out.append((FALSE if k is None else REPEATED if k in used else OPTIONAL, i, k))
-            used |= set() if k is None else {k}
-    return out
+    """(kind, task, label) of each produced task and each missing label.
+
+    Required labels and the tasks that fit them are ranked pairs, those of equal dates first; a greedy one-to-one choice
+    among them decides.  Of the tasks left over, those that a label asked for are repeated, those of an optional label
+    are optional once, and the rest are false.
+    """
+    needed, spare, barred = ([Label.of(x) for x in xs] for xs in (required, optional, forbidden))
+    free = [i for i, t in enumerate(tasks) if not any(x.forbids(t) for x in barred)]
+    fitting = [(label.kind(tasks[i]), m, i) for m, label in enumerate(needed) for i in free if label.fits(tasks[i])]
+    chosen = greedy((kind != RIGHT, m, i) for kind, m, i in fitting)
+    kinds = {(m, i): kind for kind, m, i in fitting}
+    asked = {i for _, _, i in fitting}
+    first_of = {i: next((k for k, x in enumerate(spare) if x.fits(tasks[i])), None) for i in free if i not in asked}
+    # of the tasks of one optional label the first is optional
+    leads = {k: i for i, k in reversed(first_of.items())}
+    owner = {i: m for m, (i, _) in chosen.items()}
+
+    def outcome(i: int) -> tuple[str, int, int | None]:
+        if i in owner:
+            return kinds[owner[i], i], i, owner[i]
+        if i not in first_of:
+            return REPEATED if i in asked else FORBIDDEN, i, None
+        k = first_of[i]
+        return FALSE if k is None else OPTIONAL if leads[k] == i else REPEATED, i, k
+
+    return [*((MISSING, None, m) for m in range(len(needed)) if m not in chosen), *map(outcome, range(len(tasks)))]
 
 
 def match_decisions(required: list[list[str]], optional: list[list[str]], texts: list[str]) -> dict:
-    """Counts of a greedy one-to-one match of decisions: matched, required, missing, extra."""
-    free = list(range(len(texts)))
-    matched = 0
-    for words in required:
-        hit = next((i for i in free if holds_all(texts[i], words)), None)
-        if hit is not None:
-            free.remove(hit)
-            matched += 1
-    spare = list(range(len(optional)))
-    extra = 0
-    for i in free:
-        k = next((k for k in spare if holds_all(texts[i], optional[k])), None)
-        if k is None:
-            extra += 1
-        else:
-            spare.remove(k)
-    return {"matched": matched, "required": len(required), "missing": len(required) - matched, "extra": extra}
+    """Counts of a greedy one-to-one match of decisions, required labels first: matched, required, missing, extra."""
+    pairs = lambda labels, of: ((m, i) for m, words in enumerate(labels) for i in of if not missing_words(texts[i], words))
+    needed = greedy((0, m, i) for m, i in pairs(required, range(len(texts))))
+    left = set(range(len(texts))) - {i for i, _ in needed.values()}
+    # here texts choose their labels
+    spare = greedy((0, i, k) for k, i in pairs(optional, left))
+    return {"matched": len(needed), "required": len(required), "missing": len(required) - len(needed), "extra": len(left) - len(spare)}
 
 
 def meeting_passes(label: Column, time: Column, place: Column) -> Column:
