@@ -195,3 +195,37 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert query.awaitTermination(90)
     got = [(r.owner, r.task) for r in live.latest(spark, str(tmp_path / "store")).collect()]
     assert got == [(r.owner, r.task) for r in meetings.tasks(batch).collect()] == [("Lan", "viết slide giới thiệu")]
+
+
+def test_number_words_column(spark):
+    digits = ["0", "5", "10", "11", "15", "21", "24", "25", "105", "1005", "1015", "21001", "1000000", "1000005", "1234567890", "007", "1234567890123"]
+    got = spark.createDataFrame([(x,) for x in digits], "x string").select("x", wer.number_words(F.col("x")).alias("w")).collect()
+    assert {r.x: r.w for r in got} == {x: wer.read_number(x) for x in digits}
+    assert wer.read_number("1015") == "một nghìn không trăm mười lăm" and wer.read_number("105") == "một trăm linh năm" and wer.read_number("007") == "không không bảy"
+
+
+def test_draws_in_blocks_are_the_same(monkeypatch):
+    rnd = np.random.default_rng(4)
+    n, a, b, c = rnd.integers(1, 50, 300), rnd.integers(0, 9, 300), rnd.integers(0, 9, 300), rnd.integers(0, 70, 300)
+    whole = evaluate.interval(n, a, b, c)
+    monkeypatch.setattr(evaluate, "DRAWN", 500)
+    assert evaluate.interval(n, a, b, c) == whole
+
+
+def test_report_and_choices(spark, tmp_path):
+    from parley.operators import reports
+
+    rows = spark.createDataFrame([("u", 0, 9, False), ("u", 1, 12, False), ("u", 2, 3, True), ("v", 0, 5, True), ("v", 1, 7, False), ("v", 2, 7, False)], "k string, no int, words int, good boolean")
+    assert {r.k: r.no for r in reports.best_hearing(rows, "k").collect()} == {"u": 2, "v": 1}
+    df = spark.createDataFrame([("Thứ 6 An làm báo cáo", "báo cáo"), ("An làm báo cáom", "báo cáo"), ("x", "")], "t string, p string")
+    assert [r.w for r in df.select(reports.whole_word(df.t, df.p).alias("w")).collect()] == [True, False, False]
+    name = spark.range(1).select(reports.config_name(F.lit("models\\Pho-Medium/"), {"beam": 5, "gop": 0}, beam=F.lit(5), gop=F.lit(20)).alias("n")).first().n
+    assert name == "pho-medium_gop20"
+    assert reports.read_or(spark, str(tmp_path / "none"), "a int").count() == 0
+    long = spark.createDataFrame([("a", ["1", "2"], 10, 3), ("b", ["2", "9"], 5, 1)], "id string, parts array<string>, n int, errors int")
+    short = spark.createDataFrame([("1", 4, 1), ("2", 6, 0)], "id string, n int, errors int")
+    pairs, rest = reports.against_parts(long, short)
+    assert [tuple(r) for r in pairs.collect()] == [("a", 10, 3, 2, 10, 1)] and [r.id for r in rest.collect()] == ["b"]
+    tasks = spark.createDataFrame([("m", 4.0, "x"), ("m", 9.0, "y")], "source string, start double, task string")
+    said = spark.createDataFrame([("m", 1, 4.0, "one"), ("m", 2, 4.0, "two")], "source string, pos int, start double, sach string")
+    assert {r.task: r.sentence for r in reports.source_sentences(tasks, said).collect()} == {"x": "one", "y": None}

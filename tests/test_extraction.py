@@ -99,6 +99,27 @@ def test_pagerank_and_summary(spark):
 
     ranks = rank.pagerank(np.array([[1, 0.5, 0.0], [0.5, 1, 0.5], [0.0, 0.5, 1]]))
     assert ranks[1] == 1 and ranks[0] == pytest.approx(ranks[2]) and (rank.pagerank(np.eye(3)) == 1).all()
-    text = rank.summarise([f"Số {i} là kết quả mà nhóm {i} trình bày hôm nay" for i in range(9)], list(map(float, range(9))), [])
+    text = rank.summary([f"Số {i} là kết quả mà nhóm {i} trình bày hôm nay" for i in range(9)], list(map(float, range(9))), [0.1 * i for i in range(9)])
     assert text.count(".") >= 2 and rank.shorten("về giao diện thì mình sẽ sửa lại") == "Giao diện: sẽ sửa lại."
     assert clean.renumber(sentences(spark, "a", "b").drop("stt")).count() == 2
+
+
+def test_flagship_has_results(spark):
+    """Meetings made of the catalogue's sentences have decisions, tasks and next meetings, and those that were said."""
+    from parley.plans import catalog
+
+    rows = catalog.flagship(spark, "/root/testdata/sf0.001").collect()
+    assert sum(len(r.decisions) for r in rows) > 5 and sum(len(r.tasks) for r in rows) > 5 and sum(r.next_meeting is not None for r in rows) > 2
+    tasks = {(t.owner, t.task, t.deadline) for r in rows for t in r.tasks}
+    assert ("Lan", "gửi báo cáo", "thứ 6") in tasks and ("Tú", "viết tài liệu", "ngày 12 tháng 8") in tasks
+    assert {r.next_meeting.time for r in rows if r.next_meeting} == {"tối chủ nhật lúc 9h"}
+    assert all(r.summary for r in rows)
+
+
+def test_summary_scores(spark):
+    known = ["Cả nhóm chốt dùng MySQL cho kho."]
+    texts = ["Cả nhóm chốt dùng MySQL cho kho.", "Mình chưa chốt phương án nào.", "Họp để thống nhất kế hoạch.", "Doanh số tăng 20% nhờ tập trung vào kho."]
+    df = spark.createDataFrame([(t, known) for t in texts], "t string, known array<string>")
+    got = df.select(rank.is_known(df.t, df.known).alias("k"), rank.bonus(df.t).alias("b"), rank.penalty(df.t, df.known).alias("p")).collect()
+    assert [r.k for r in got] == [True, False, False, False]
+    assert [round(r.b, 2) for r in got] == [0.35, 0.0, 0.0, 0.5] and [round(r.p, 2) for r in got] == [0.3, 0.0, 0.0, 0.0]
