@@ -20,8 +20,8 @@ TOP_PAIRS, TOP_WORDS, TOP_SEGMENTS, SPREAD = 30, 25, 15, 0.20
 SLOW_FACTOR, SLOW_LEAST = 3, 5
 # ---- end of fixed values --------------------------------------------------------------------
 
-#: Numbers that are drawn at a time.
-DRAWN = 1 << 22
+#: Numbers that are drawn at a time; parts that a group's values are dealt to for order statistics.
+DRAWN, BUCKETS = 1 << 22, 64
 
 
 def scored(labels: DataFrame, results: DataFrame) -> DataFrame:
@@ -142,10 +142,18 @@ def order_statistics(rows: DataFrame, group: str, value: str, **places: Column)
     """(group, one column for each place): the value at a place from 0 in the group's sorted values.
 
     ``places``: expressions of ``n``, the group's number of rows.  Values are
-    counted first and the counts run up, so no group's rows are gathered.
+    counted first and the counts run up within buckets, so no group's rows or values are gathered.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    run = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(group).orderBy(value))).withColumn("n", F.sum("c").over(Window.partitionBy(group)))
+    rows = rows.filter(F.col(value).isNotNull())
+    counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    # approximate quantiles deal a group's values out, whatever its size; counts before a bucket make the places exact
+    breaks = rows.groupBy(F.col(group).alias("__g")).agg(F.percentile_approx(value, [k / BUCKETS for k in range(1, BUCKETS)], 1000).alias("__b"))
+    dealt = counts.join(breaks, F.col(group).eqNullSafe(F.col("__g"))).withColumn("__k", F.size(F.filter("__b", lambda x: x < F.col(value)))).drop("__b", "__g")
+    sums = dealt.groupBy(F.col(group).alias("__g"), F.col("__k").alias("__j")).agg(F.sum("c").alias("s"))
+    whole = Window.partitionBy("__g")
+    sums = sums.withColumn("before", F.sum("s").over(whole.orderBy("__j")) - F.col("s")).withColumn("n", F.sum("s").over(whole))
+    run = dealt.join(sums, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__k") == F.col("__j")))
+    run = run.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(group, "__k").orderBy(value)))
     return run.groupBy(group).agg(*[F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in places.items()])
 
 
