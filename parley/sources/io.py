@@ -20,6 +20,11 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("value", F.regexp_replace("value", "^﻿", ""))
 
 
+def read_references(spark: SparkSession, path: str) -> DataFrame:
+    """(source, text): reference texts, a file each."""
+    return whole_files(spark, path).select(stem(F.col("path")).alias("source"), F.col("value").alias("text"))
+
+
 def _records(spark: SparkSession, path: str, required: dict[str, str]) -> DataFrame:
     """Records of JSON arrays with their place in the file and what is wrong with them; kept as VARIANT to see true types."""
     rows = whole_files(spark, path).select(stem(F.col("path")).alias("source"), F.try_parse_json("value").alias("v"))
@@ -128,6 +133,12 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_clips(clips: DataFrame, path: str) -> None:
+    """Labelled clips (id, .., audio): the sound and its label apart, so that labels are read without it."""
+    clips.select("id", "audio").write.mode("overwrite").parquet(f"{path}/audio")
+    clips.drop("audio").write.mode("overwrite").json(f"{path}/labels")
+
+
 def meeting_json(results: DataFrame) -> DataFrame:
     """(source, json) of result rows."""
     return results.select("source", F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}).alias("json"))

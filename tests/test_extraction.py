@@ -123,3 +123,30 @@ def test_summary_scores(spark):
     got = df.select(rank.is_known(df.t, df.known).alias("k"), rank.bonus(df.t).alias("b"), rank.penalty(df.t, df.known).alias("p")).collect()
     assert [r.k for r in got] == [True, False, False, False]
     assert [round(r.b, 2) for r in got] == [0.35, 0.0, 0.0, 0.5] and [round(r.p, 2) for r in got] == [0.3, 0.0, 0.0, 0.0]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from parley.__main__ import main
+
+    said = ["Chị Lan sẽ gửi báo cáo trước thứ 6.", "Cả nhóm chốt dùng MySQL cho kho."]
+    row = lambda i, t: {"speaker": "S", "start": 4.0 * i, "end": 4.0 * i + 3, "text": t}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "m1.json").write_text(json.dumps([row(i, t) for i, t in enumerate(said)]), encoding="utf-8")
+    (tmp_path / "in" / "m2.json").write_text("[]", encoding="utf-8")
+    (tmp_path / "ref").mkdir()
+    (tmp_path / "ref" / "m1.txt").write_text("\ufeffChị Lan gửi báo cáo trước thứ 6. Cả nhóm chốt dùng MySQL cho kho.", encoding="utf-8")
+    where = lambda name: str(tmp_path / name)
+    assert main(["clean", where("in"), where("out")], spark) == 1 and "m2" in capsys.readouterr().err
+    assert sorted(r.sach for r in spark.read.json(where("out")).collect()) == sorted(said)
+    assert main(["meetings", where("in"), where("made")], spark) == 1
+    made = spark.read.json(where("made/json")).collect()
+    assert [(t.owner, t.task) for t in made[0].tasks] == [("Lan", "gửi báo cáo")]
+    capsys.readouterr()
+    assert main(["wer", where("in"), where("ref")], spark) == 1
+    assert capsys.readouterr().out.splitlines()[0].split("\t")[:5] == ["m1", "15", "0", "0", "1"]
+    want = {"m1": {"tap": "a", "viec_bat_buoc": [{"chu": "Lan", "tu_khoa": ["báo cáo"], "han": "thứ 6"}]}}
+    (tmp_path / "want.json").write_text(json.dumps(want), encoding="utf-8")
+    assert main(["quality", where("want.json"), where("made/json")], spark) == 0
+    assert capsys.readouterr().out.split() == ["a", "1.0", "1.0", "1.0"]
