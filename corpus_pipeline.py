@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm import decontaminate, mixing, quality_rules, secrets, simhash
-from parley.llm.common import materialize, read
+from parley.llm.common import WRITTEN, discard, materialize, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages make a twentieth go."""
+    """Documents that hold a benchmark passage go."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -55,7 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    """All stages; what a stage wrote on its way goes once its result is written, and its input with it."""
+    docs, start = read(spark, sf_dir, "documents"), len(WRITTEN)
+    for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return materialize(STAGES[-1][1](spark, docs, sf_dir), "mix")
+        discard(spark, start, len(WRITTEN) - 1)
+    return docs

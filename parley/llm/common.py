@@ -35,21 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Folders written by this process, in order.
+WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/parley/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, first: int, last: int) -> None:
+    """Deletes the folders WRITTEN[first:last], which nothing may read any more."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in WRITTEN[first:last]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    del WRITTEN[first:last]
+
+
 def hot_keys(df: DataFrame, key: str) -> list:
     """Keys of ``df`` with over HOT_SHARE of its rows: at most 1/HOT_SHARE values."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total = df.count()
-    bar = max(HOT_ROWS, int(total * HOT_SHARE))
-    if total <= bar:
+    if total <= HOT_ROWS:
         return []
-    return [r[0] for r in counts.filter(F.col("n") > bar).select(key).collect() if r[0] is not None]
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return [r[0] for r in counts.filter(F.col("n") > max(HOT_ROWS, int(total * HOT_SHARE))).select(key).collect() if r[0] is not None]
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
@@ -68,6 +81,15 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", h
     return salted.join(spread, [key, "__salt"], how).drop("__salt")
 
 
+#: Rows of two or three hashes that a join may broadcast: 64 MB at most.
+KEYS = 2_000_000
+
+
+def small_join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join with a written table of keys that is broadcast only while it has at most KEYS rows, else shuffled."""
+    return left.join(F.broadcast(right) if right.count() <= KEYS else right, key, how)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -129,6 +151,13 @@ def column_bytes(batch, name: str) -> list[bytes]:
     return [b"" if x is None else x for x in col.cast(kind).to_pylist()]
 
 
+def each_bytes(batch, name: str):
+    """As ``column_bytes``, one text at a time."""
+    for x in batch.column(name):
+        text = x.as_py()
+        yield b"" if text is None else text.encode()
+
+
 def slices(sizes: list[int], most: int):
     """Cuts 0..len(sizes) into runs of at most ``most`` in total (one item at least)."""
     start, total = 0, 0

@@ -1,15 +1,26 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of at least 4/5.
 
-All such pairs are found, and every link is checked on the whole sets.
+Every link is checked on the whole sets; candidates come from two sources.
 
 1. Equal sets form a class; only classes are searched.
-2. Shingles are ordered: those common in a sample last, then by hash (any order
-   gives the same result).  Sets of overlap o share MATCHES of the first
-   n - o + MATCHES shingles, so classes meet in hash buckets of these prefixes
-   alone; sizes and positions rule out most of the rest.
-3. Classes with equal first shingles are compared with one of them beforehand:
-   the components found so far need not be searched within.
-4. Candidates are compared by their whole sets; links are joined to components.
+2. SimHash: fingerprints within RADIUS bits, found by the vantage-point shards
+   of ``simhash``.  At a similarity of 4/5 fingerprints differ in ten of 64 bits
+   on average; a tree that has to reach so far prunes nothing, so this source
+   only brings the closest copies.
+3. The rest: each class has a sketch of BANDS x WIDTH minima, cut into bands.
+   Two classes of similarity s share no band with a probability of
+   (1 - s ** WIDTH) ** BANDS, which is 0.00003 at 4/5 and falls steeply above.
+   First every class is compared with the leader of each of its bands, twice
+   with different leaders: that joins large groups in proportion to their size.
+   What then shares a band without being joined is compared pair by pair, if
+   the sketches agree in LIKELY or more of their places.  Members of a band
+   that are joined already are never paired, so a group of copies costs its
+   size, not its square; work is quadratic only in the classes that share a
+   band and yet are not similar.
+4. Links are joined to components.
+
+Sketches and ids move; texts are read once more, for the classes that share a
+band, by a join that broadcasts keys only while they are at most KEYS.
 
 Defined results.  Null or word-less texts have an empty set and are alike; of
 fewer words than a shingle has, all words are one.  A component is named by its
@@ -22,13 +33,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, materialize, skew_join
+from .common import each_bytes, hot_keys, materialize, skew_join, small_join
 from .components import connected_components
-from .simhash import PAIRS, shingle_hashes
+from .ngram_exchange import mix, pack, unpack
+from .simhash import link_classes, majority, shingle_hashes
 
-SHINGLE, MATCHES = 5, 3
-#: Documents whose shingles tell the common ones (a table of at most COMMON), and rows of a bucket.
-SAMPLE, COMMON, BUCKET = 2000, 1 << 16, 1 << 19
+SHINGLE, RADIUS = 5, 3
+BANDS, WIDTH, LIKELY = 20, 4, 0.6
+#: Classes of one band that a task compares at a time, and rows of a shard of bands.
+CELL, SHARD = 4096, 1 << 17
+#: Shingle hashes are compared by so many bits.
+BITS = 40
+_DRAWN = np.random.default_rng(20).integers(0, 1 << 31, (2, BANDS * WIDTH), dtype=np.uint32)
+FACTORS, TERMS = _DRAWN[0] * np.uint32(2) + np.uint32(1), _DRAWN[1]
 
 
 def overlap(a, b):
@@ -36,128 +53,158 @@ def overlap(a, b):
     return -(-4 * (a + b) // 9)
 
 
-def shingles(text: bytes, shingle: int) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    return np.unique(shingle_hashes(text, shingle))
+def sketch(distinct: np.ndarray) -> np.ndarray:
+    """The minima of a set of hashes under BANDS x WIDTH orders."""
+    folded = (distinct ^ (distinct >> np.uint64(32))).astype(np.uint32)
+    out = np.full(BANDS * WIDTH, 2**32 - 1, np.uint32)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(folded), 1024):
+            np.minimum(out, (folded[k : k + 1024, None] * FACTORS + TERMS).min(axis=0), out=out)
+    return out
 
 
-def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, of which sets that are similar share MATCHES (or all that they share)."""
-    at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
-    last = common[at] == s if len(common) else np.zeros(len(s), bool)
-    return np.concatenate([s[~last], s[last]])[: len(s) - -(-4 * len(s) // 5) + MATCHES]
+def band_keys(sketches: np.ndarray) -> np.ndarray:
+    """One hash for each band of each row of ``sketches``."""
+    cells = sketches.reshape(len(sketches), BANDS, WIDTH).astype(np.uint64)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), cells.shape[:2])
+    for k in range(WIDTH):
+        key = mix(key, cells[:, :, k])
+    return key.view(np.int64)
 
 
-def _arrow(docs: DataFrame, keep: list[str], text_col: str, schema: str, names: list[str], make) -> DataFrame:
-    """``keep`` columns and ``make`` of each text."""
+def describe(docs: DataFrame, keep: list[str], text_col: str, shingle: int) -> DataFrame:
+    """``keep`` columns, the class of each text, its size, fingerprint and sketch."""
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
 
         for batch in batches:
-            found = [make(t) for t in column_bytes(batch, text_col)]
-            cols = list(zip(*found, strict=True)) or [[]] * len(names)
-            kinds = [pa.int64() if x.split()[1] == "bigint" else pa.binary() for x in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*keep, *names])
+            found = []
+            for text in each_bytes(batch, text_col):
+                hashes = shingle_hashes(text, shingle)
+                distinct = np.unique(hashes)
+                node = np.uint64(xxhash.xxh64_intdigest(distinct.tobytes(), 7)).view(np.int64)
+                found.append((int(node), len(distinct), int(np.uint64(majority(hashes)).view(np.int64)), sketch(distinct).tobytes()))
+            cols = list(zip(*found, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*keep, "node", "n", "fp", "sketch"])
 
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, kept + schema)
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, kept + "node bigint, n bigint, fp bigint, sketch binary")
 
 
-def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
-    """Sorted hashes of shingles that several texts of a sample hold; they only shape the order."""
-    few = docs.select(text_col).filter(F.pmod(F.xxhash64(text_col), F.lit(max(1, docs.count() // SAMPLE))) == 0).distinct()
-    seen = _arrow(few, [], text_col, "s binary", ["s"], lambda t: (shingles(t, shingle).tobytes(),))
+def shared_bands(classes: DataFrame) -> DataFrame:
+    """(h, node) of the bands that several classes share."""
 
     def explode(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for s in batch.column("s").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, "<i8"))], names=["h"])
-
-    counts = seen.mapInArrow(explode, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64).view(np.uint64))
-
-
-def search_bucket(h: np.ndarray, node: np.ndarray, group: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(u, v, need): pairs of different groups that meet in a shingle and may be similar; need: how often they have to meet."""
-    order = np.lexsort((node, h))
-    h, node, group, n, pos = h[order], node[order], group[order], n[order], pos[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    size = np.diff(np.r_[first, len(h)])
-    out = []
-
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        least = overlap(n[i], n[j])
-        ok = (group[i] != group[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) + MATCHES - 1 >= least)
-        out.append((node[i[ok]], node[j[ok]], np.minimum(least[ok], MATCHES)))
-
-    # runs of equal length together, as most are short
-    for m in np.unique(size[size > 1]):
-        starts = first[size == m]
-        if m > 256:
-            step = max(1, PAIRS // int(m))
-            for s in starts:
-                for k in range(0, int(m), step):
-                    i, j = np.meshgrid(np.arange(k, min(k + step, int(m))), np.arange(int(m)), indexing="ij")
-                    keep(s + i[i < j], s + j[i < j])
-            continue
-        i, j = np.triu_indices(int(m), 1)
-        step = max(1, PAIRS // len(i))
-        for k in range(0, len(starts), step):
-            s = starts[k : k + step, None]
-            keep((s + i).ravel(), (s + j).ravel())
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (node[:0], node[:0], n[:0])
-
-
-def candidates(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(u, v) of different groups that share enough of their prefixes; rows of ``classes``: node, grp, n, prefix."""
-    total = classes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    buckets = max(1, total // 8 // bucket)
+            raw = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(batch.num_rows, -1)
+            node = np.repeat(batch.column("node").to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(band_keys(raw).ravel()), pa.array(node)], names=["h", "node"])
+
+    bands = materialize(classes.filter("n > 0").select("node", "sketch").mapInArrow(explode, "h bigint, node bigint"), "bands")
+    several = bands.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    return materialize(skew_join(bands, several, "h"), "shared")
+
+
+def leaders(met: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs (u, v) of each class and the leader of a band it is in, where the two are of different groups."""
+    rank = F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), "node")
+    first = met.groupBy("h").agg(F.min(rank)["node"].alias("v"))
+    pairs = skew_join(met, first, "h").filter("node != v").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
+    return pairs if groups is None else other_groups(materialize(pairs, "pairs"), groups)
+
+
+def other_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different groups; classes that ``groups`` (node, grp) lacks are groups of their own."""
+    hot = {c: hot_keys(pairs, c) for c in ("u", "v")}
+    for c in ("u", "v"):
+        named = groups.select(F.col("node").alias(c), F.col("grp").alias(f"g{c}"))
+        pairs = skew_join(pairs, named, c, "left", hot=hot[c])
+    return pairs.filter(F.coalesce("gu", "u") != F.coalesce("gv", "v")).select("u", "v")
+
+
+def joined(links: DataFrame) -> DataFrame:
+    """(node, grp): groups of classes that are surely of one component, by two rounds of smallest neighbours."""
+    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("grp"))
+    least = materialize(least, "least")
+    near = skew_join(both, least.withColumnRenamed("u", "v"), "v")
+    again = near.groupBy("u").agg(F.min("grp").alias("g2"))
+    return materialize(least.join(again, "u").select(F.col("u").alias("node"), F.least("grp", "g2").alias("grp")), "groups")
+
+
+def unjoined(met: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (u, v) that share a band, are of different groups and have sketches that agree enough."""
+    # a class is in BANDS bands at most, so no node is hot here
+    rows = met.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    rows = materialize(rows.select("h", "node", "grp"), "grouped")
+    sizes = rows.groupBy("h", "grp").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("h").agg(F.max_by("grp", F.struct("c", "grp")).alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    cells = F.ceil(F.col("c") / CELL).cast("int")
+    rows = skew_join(rows, main.select("h", "main", cells.alias("cells")), "h").withColumn("own", F.col("grp") == F.col("main"))
+    # a band's largest group is dealt over its cells, the rest visits each of them
+    place = F.when(F.col("own"), F.array(F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("cells") - 1))
+    rows = rows.select("h", "node", "grp", "own", F.explode(place).alias("cell"))
+    rows = materialize(rows.join(sketches, "node"), "cells")
+    shards = max(1, rows.count() // SHARD)
 
-    def explode(batches):
+    def search(table):
         import pyarrow as pa
 
-        for batch in batches:
-            for node, group, n, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "grp", "n", "prefix")), strict=True):
-                h = np.frombuffer(raw, "<u8")
-                fill = lambda x, k: np.full(len(h), x, k)  # noqa: B023, E731
-                cols = [(h % np.uint64(buckets)).astype(np.int32), h.view(np.int64), fill(node, np.int64), fill(group, np.int64), fill(n, np.int32), np.arange(len(h), dtype=np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "h", "node", "grp", "n", "pos"])
+        h, cell, node, grp = (table.column(c).to_numpy() for c in ("h", "cell", "node", "grp"))
+        own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
+        raw = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u4").reshape(len(h), -1)
+        order = np.lexsort((own, cell, h))
+        starts = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (cell[order][1:] != cell[order][:-1])])
+        out = []
+        for a, b in zip(starts, np.r_[starts[1:], len(h)], strict=True):
+            mine = order[a:b]
+            strangers = mine[~own[mine]]
+            for k, i in enumerate(strangers):
+                # strangers meet each other in the first cell alone
+                others = np.r_[strangers[k + 1 :], mine[len(strangers) :]] if cell[i] == 0 else mine[len(strangers) :]
+                others = others[grp[others] != grp[i]]
+                others = others[(raw[others] == raw[i]).mean(axis=1) >= LIKELY]
+                out.append(np.stack([np.full(len(others), node[i]), node[others]]))
+        u, v = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"u": pa.array(np.maximum(u, v)), "v": pa.array(np.minimum(u, v))})
+
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("h", "cell"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(search, "u bigint, v bigint").distinct()
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, key: list[str], text_col: str, shingle: int) -> DataFrame:
+    """(node, s): packed sets of the classes in ``wanted`` (key, node)."""
 
-    def search(table):
+    def run(batches):
         import pyarrow as pa
 
-        col = [table.column(c).to_numpy() for c in ("h", "node", "grp", "n", "pos")]
-        u, v, need = search_bucket(*col)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "need": pa.array(need, pa.int32())})
+        for batch in batches:
+            packed = [pack(np.unique(shingle_hashes(t, shingle) >> np.uint64(64 - BITS))) for t in each_bytes(batch, text_col)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "s"])
 
-    dealt = classes.select("node", "grp", "n", "prefix").mapInArrow(explode, "bucket int, h bigint, node bigint, grp bigint, n int, pos int")
-    met = dealt.groupBy("bucket").applyInArrow(search, "u bigint, v bigint, need int")
-    return met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("times"), F.first("need").alias("need")).filter("times >= need").select("u", "v")
+    texts = small_join(docs.select(*key, text_col), wanted, key).select("node", text_col)
+    return materialize(texts.mapInArrow(run, "node bigint, s binary").dropDuplicates(["node"]), "sets")
 
 
-def similar(pairs: DataFrame, keyed: DataFrame, classes: DataFrame, key: list[str], text_col: str, shingle: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar; ``keyed`` holds the texts by ``key``, ``classes`` a key of each node."""
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar."""
     pairs = materialize(pairs, "candidates")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = materialize(classes.join(nodes, "node", "left_semi").select("node", *key), "wanted")
-    texts = keyed.select(*key, text_col).join(wanted, key).select("node", text_col)
-    sets = _arrow(texts, ["node"], text_col, "s binary", ["s"], lambda t: (shingles(t, shingle).tobytes(),)).dropDuplicates(["node"])
-    sets = materialize(sets, "sets")
     side = lambda c: sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}"))
 
     def check(batches):
         import pyarrow as pa
 
         for batch in batches:
-            sides = ([np.frombuffer(s, "<u8") for s in batch.column(c).to_pylist()] for c in ("su", "sv"))
+            sides = (map(unpack, (s.as_py() for s in batch.column(c))) for c in ("su", "sv"))
             ok = [len(np.intersect1d(a, b, assume_unique=True)) >= overlap(len(a), len(b)) for a, b in zip(*sides, strict=True)]
-            links = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"])
-            yield links.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    both = skew_join(skew_join(pairs, side("u"), "u"), side("v"), "v")
+    both = skew_join(skew_join(pairs, side("u"), "u", hot=hot_keys(pairs, "u")), side("v"), "v", hot=hot_keys(pairs, "v"))
     return materialize(both.select("u", "v", "su", "sv").mapInArrow(check, "u bigint, v bigint"), "links")
 
 
@@ -166,26 +213,19 @@ def components(docs: DataFrame, *, key: list[str], keep: list[str], text_col: st
 
     ``key``: non-null columns; rows of equal keys have equal texts.
     """
-    import xxhash
-
-    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle))
-
-    def make(text: bytes) -> tuple:
-        s = shingles(text, shingle)
-        node = int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).view(np.int64))
-        return node, len(s), prefix(s, held.value).tobytes()
-
-    rows = materialize(_arrow(docs, [*key, *keep], text_col, "node bigint, n bigint, prefix binary", ["node", "n", "prefix"], make), "shingles")
-    firsts = [F.first(c).alias(c) for c in ("n", "prefix")]
-    classes = rows.groupBy("node").agg(F.min(F.struct(*key)).alias("key"), *firsts).select("node", "key.*", "n", "prefix")
+    rows = materialize(describe(docs, [*key, *keep], text_col, shingle), "shingles")
+    firsts = [F.first(c).alias(c) for c in ("n", "fp", "sketch")]
+    classes = rows.groupBy("node").agg(F.min(F.struct(*key)).alias("key"), *firsts).select("node", "key.*", "n", "fp", "sketch")
     classes = materialize(classes, "classes")
-    begin = classes.filter("n > 0").select("node", F.substring("prefix", 1, 8).alias("h"))
-    least = begin.groupBy("h").agg(F.min("node").alias("v"))
-    stars = skew_join(begin, least, "h").filter("node != v").select(F.col("node").alias("u"), "v")
-    early = similar(stars, docs, classes, key, text_col, shingle)
-    found = connected_components(early).select("node", F.col("component").alias("grp"))
-    grouped = classes.select("node", "n", "prefix").join(found, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    late = similar(candidates(grouped), docs, classes, key, text_col, shingle)
-    roots = connected_components(early.unionByName(late)).select("node", F.col("component").alias("root"))
+    close = link_classes(classes.filter("n > 0").select("node", "fp"), RADIUS).filter("node != root")
+    close = materialize(close.select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")), "close")
+    met = shared_bands(classes)
+    nodes = met.select("node").unionByName(close.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    wanted = materialize(classes.join(nodes, "node", "left_semi").select("node", *key), "wanted")
+    sets = shingle_sets(docs, wanted, key, text_col, shingle)
+    links = similar(close.unionByName(leaders(met, None, 1)).distinct(), sets)
+    links = links.unionByName(similar(leaders(met, joined(links), 2), sets))
+    links = links.unionByName(similar(unjoined(met, joined(links), classes.select("node", "sketch")), sets))
+    roots = connected_components(links).select("node", F.col("component").alias("root"))
     named = classes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return skew_join(rows.select(*key, *keep, "node"), named, "node")

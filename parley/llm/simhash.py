@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, hot_keys, materialize, skew_join, slices, space_words
+from .common import column_bytes, hot_keys, materialize, skew_join, slices, small_join, space_words
 from .components import connected_components
 from .ngram_exchange import mix
 
@@ -281,7 +281,11 @@ def link(
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component of near copies: the one with the smallest id.  Rows without an id are kept
-    only where their component has no id at all, then one of them.  Options of ``near_copies.components``."""
+    only where their component has no id at all, then one of them.  Different texts under one id are documents of their
+    own.  Options of ``near_copies.components``.
+
+    Only hashes of rows move: what is dropped is taken out of ``docs`` by a join on those.
+    """
     from . import near_copies
 
     plain = [c for c, kind in docs.dtypes if "map<" not in kind]
@@ -292,6 +296,15 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     name = F.col(at[id_col])
     key = ["__a", "__b"]
     found = near_copies.components(keyed, key=key, keep=[at[id_col]], text_col=at[text_col], **options)
-    best = found.groupBy("root").agg(F.min(F.struct(name.isNull().alias("none"), name.alias("id"), *key)).alias("best"))
-    kept = keyed.join(best.select("best.__a", "best.__b"), key, "left_semi").dropDuplicates(key)
+    rows = found.groupBy(*key).agg(F.min("root").alias("root"), F.min(name).alias("id"), F.count(F.lit(1)).alias("c"))
+    rows = materialize(rows, "rows")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *key)).alias("best"))
+    judged = skew_join(rows, best, "root").withColumn("stays", (F.col("__a") == F.col("best.__a")) & (F.col("__b") == F.col("best.__b")))
+    judged = materialize(judged.select(*key, "c", "stays"), "judged")
+    gone = materialize(judged.filter("not stays").select(*key), "gone")
+    # equal rows have equal hashes: of those that stay one has to be taken
+    repeated = materialize(judged.filter("stays and c > 1").select(*key), "repeated")
+    kept = small_join(keyed, gone, key, "left_anti")
+    once = small_join(kept, repeated, key, "left_anti")
+    kept = once.unionByName(small_join(kept, repeated, key, "left_semi").dropDuplicates(key))
     return kept.select(*[F.col(at[c]).alias(c) for c in docs.columns])

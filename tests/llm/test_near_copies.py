@@ -63,3 +63,33 @@ def test_one_row_of_each_component(spark):
     kept = simhash.deduplicate(spark.createDataFrame(data, COLUMNS)).collect()
     want = [(None, a, "en"), (None, b, "fr"), (1, c, "en"), (1, d, "en"), (3, e, "en")]
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
+def test_repeated_ids_lose_no_text(spark):
+    """(1, A), (5, A), (5, B): one A and B stay, twenty times over."""
+    rnd = random.Random(9)
+    make = lambda: " ".join(f"w{rnd.randrange(4000)}" for _ in range(60))
+    data, texts = [], set()
+    for k in range(20):
+        a, b = make(), make()
+        texts |= {a, b}
+        data += [(10 * k + 1, a, "en"), (10 * k + 5, a, "en"), (10 * k + 5, b, "en")]
+    kept = simhash.deduplicate(spark.createDataFrame(data, COLUMNS)).collect()
+    assert sorted(r.text for r in kept) == sorted(texts)
+
+
+def test_a_large_group_costs_its_size(spark):
+    """Copies of one text, each with its own few changes: one component, and far fewer pairs than the square of the group."""
+    rnd = random.Random(10)
+    base = [f"w{rnd.randrange(4000)}" for _ in range(200)]
+    data = []
+    for i in range(400):
+        copy = list(base)
+        for at in rnd.sample(range(200), 2):
+            copy[at] = f"x{rnd.randrange(10**6)}"
+        data.append((i, " ".join(copy), "en"))
+    rows = spark.createDataFrame(data, COLUMNS)
+    described = near_copies.describe(rows, ["doc_id"], "text", 5)
+    met = near_copies.shared_bands(described)
+    assert near_copies.leaders(met, None, 1).count() <= 400 * near_copies.BANDS
+    assert [r.doc_id for r in simhash.deduplicate(rows).collect()] == [0]
