@@ -59,13 +59,18 @@ def narrow(values: np.ndarray) -> np.ndarray:
     return values.astype("<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
 
 
+def word_hash(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word, SEED) >> 64 - BITS
+
+
 class Chunk:
     """Words of some documents: ``ids`` into ``hashes`` (one per distinct word), and ``doc`` of each word."""
 
     def __init__(self, texts: list[bytes]):
         import pyarrow as pa
         import pyarrow.compute as pc
-        import xxhash
 
         spaced = [t.translate(ALNUM).strip() for t in texts]
         lists = pc.ascii_split_whitespace(pa.array([t or None for t in spaced], pa.large_binary()).cast(pa.large_string()))
@@ -73,7 +78,7 @@ class Chunk:
         distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
         self._set(
             coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
-            np.fromiter((xxhash.xxh64_intdigest(w, SEED) >> 64 - BITS for w in distinct), np.uint64, len(distinct)),
+            np.fromiter(map(word_hash, distinct), np.uint64, len(distinct)),
             pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64),
         )
 

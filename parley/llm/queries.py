@@ -56,7 +56,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")
     found = decontaminate.verdicts(decontaminate.annotate(docs, benchmark, keep=["doc_id"]))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
