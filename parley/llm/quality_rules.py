@@ -2,15 +2,19 @@
 
 Each document has a vector of transformed statistics.  Centre and scatter are
 estimated per (language, source), per language and over all rows by the
-minimum covariance determinant: start from coordinate medians and absolute
-deviations, then repeat concentration steps (mean and covariance of the
-fraction H of rows with the smallest Mahalanobis distances).  A document is an
-outlier when its squared distance to the estimate of the smallest of its
-groups that holds at least MIN_GROUP rows exceeds CUTOFF.
+minimum covariance determinant, in the way of FAST-MCD: several starts for each
+group (coordinate medians and absolute deviations, and the moments of STARTS
+small subsets drawn by hash), concentration steps from each of them (mean and
+covariance of the fraction H of rows with the smallest Mahalanobis distances),
+then further steps from the start whose covariance has the least determinant,
+and a last reweighted estimate over the rows within the INNER quantile of
+chi-square.  A document is an outlier when its squared distance to the estimate
+of the smallest of its groups that holds at least MIN_GROUP rows exceeds CUTOFF.
 
 Statistics are rounded to 1/GRID, so all sums are sums of integers: results do
 not depend on the order of rows.  Quantiles are read from histograms, whose
-rows are (group, bin) counts; nothing gathers a group.  Estimates are tables
+rows are (group, bin) counts; a group's histogram is an array of as many bins
+as the grid allows, and nothing gathers a group.  Estimates are tables
 written between the steps; joins to them spread every group over SPREAD keys.
 
 Everything is built-in expressions and aggregates, no Python.
@@ -30,16 +34,23 @@ from .common import let, materialize
 
 GRID = 256
 H = 0.75
-STEPS = 3
+#: Subsets that start the search beside the medians, rows of a subset, concentration steps for all starts and for the best.
+STARTS, SUBSET, FIRST_STEPS, MORE_STEPS = 3, 32, 2, 1
 MIN_GROUP = 200
 #: Squared Mahalanobis distance beyond which a document is an outlier: what chi-square with five degrees
 #: of freedom exceeds once in 10^8 draws, as clean documents have longer tails than the normal distribution.
 CUTOFF = 45.8
+#: The 0.975 quantile of chi-square with five degrees of freedom, for the reweighted estimate, and what makes a
+#: covariance of the inner share q of normal rows consistent: q over the share of chi-square with seven degrees below.
+INNER = 12.83
+OF_CORE, OF_INNER = 0.75 / 0.531, 0.975 / 0.924
 #: Added to the scatter's diagonal, as a standard deviation: most statistics are zero for most texts.
 RIDGE = 0.25
 #: Distances are compared by bins of log(1 + d2), so many to a unit.
 BINS = 256
 SPREAD = 16
+#: Estimates (of 200 bytes) that a join may broadcast.
+GROUPS = 50_000
 SPACE = "[\\x20\\x09-\\x0D]+"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIM = ("x0", "x1", "x2", "x3", "x4")
@@ -107,7 +118,7 @@ def vector() -> list[Column]:
 def groups() -> Column:
     """Keys of the groups a row belongs to, largest group first."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    return F.array(F.lit("all"), F.concat(F.lit("l"), part("lang")), F.concat(F.lit("s"), part("lang"), F.lit("\x00"), part("source")))
+    return F.array(F.lit("all"), F.concat(F.lit("l"), part("__lang")), F.concat(F.lit("s"), part("__lang"), F.lit("\x00"), part("__source")))
 
 
 def _salt() -> Column:
@@ -118,12 +129,19 @@ def _spread(table: DataFrame) -> DataFrame:
     return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
 
 
-def _quantile(counts: DataFrame, keys: list[str], value: str, at: float, out: str) -> DataFrame:
-    """Per key the smallest ``value`` at which the counts reach the share ``at``; rows of ``counts``: keys, value, n."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    run = counts.withColumn("c", F.sum("n").over(order)).withColumn("t", F.sum("n").over(whole))
-    return run.filter(F.col("c") >= F.col("t") * at).groupBy(*keys).agg(F.min(value).alias(out))
+def _at(counts: Column, share: float) -> Column:
+    """Of a sorted array of (x, n) the smallest x at which the counts reach the share."""
+    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
+    start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("bigint").alias("x"))
+    run = F.aggregate(
+        counts, start, lambda a, c: F.struct((a["upto"] + c["n"]).alias("upto"), F.coalesce(a["x"], F.when(a["upto"] + c["n"] >= total * share, c["x"])).alias("x")), lambda a: a["x"]
+    )
+    return run
+
+
+def _histograms(counts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, h): the counts (keys, x, n) of each key as a sorted array; a key has as many values as the grid or the bins allow."""
+    return counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("x").cast("bigint").alias("x"), F.col("n").cast("bigint").alias("n")))).alias("h"))
 
 
 def distance(prefix: str = "") -> Column:
@@ -137,87 +155,122 @@ def distance(prefix: str = "") -> Column:
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def _factor(moments: DataFrame, spread_for: float = 1.0) -> DataFrame:
-    """From per-group n, s{i} and s{i}{j} (integer sums) to centre and Cholesky factor of the ridged covariance."""
+CENTRE = [f"m{i}" for i in range(len(DIM))]
+FACTOR = [f"l{i}{j}" for i in range(len(DIM)) for j in range(i + 1)]
+
+
+def _moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """n, s{i} and s{i}{j}: integer sums of weighted rows by key."""
+    k = len(DIM)
+    big = lambda c: F.sum(c.cast("decimal(38,0)"))
+    return rows.groupBy(*keys).agg(
+        F.sum("w").alias("n"),
+        *[big(F.col(DIM[i]) * F.col("w")).alias(f"s{i}") for i in range(k)],
+        *[big(F.col(DIM[i]) * F.col(DIM[j]) * F.col("w")).alias(f"s{i}{j}") for i in range(k) for j in range(i + 1)],
+    )
+
+
+def _factor(moments: DataFrame, scale: float, *keys: str) -> DataFrame:
+    """From sums to centre, Cholesky factor of the ridged and scaled covariance, and its determinant's logarithm."""
     k = len(DIM)
-    df = moments
-    for i in range(k):
-        df = df.withColumn(f"m{i}", F.col(f"s{i}").cast("double") / F.col("n") / GRID)
-    for i in range(k):
-        for j in range(i + 1):
-            c = F.col(f"s{i}{j}").cast("double") / F.col("n") / (GRID * GRID) - F.col(f"m{i}") * F.col(f"m{j}")
-            df = df.withColumn(f"v{i}{j}", c * spread_for + (RIDGE * RIDGE if i == j else 0.0))
-    for i in range(k):
-        for j in range(i + 1):
-            c = F.col(f"v{i}{j}")
-            for p in range(j):
-                c = c - F.col(f"l{i}{p}") * F.col(f"l{j}{p}")
-            df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l{j}{j}"))
-    return df.select("g", *[f"m{i}" for i in range(k)], *[f"l{i}{j}" for i in range(k) for j in range(i + 1)])
-
-
-def estimates(vectors: DataFrame, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
-    """(g, m0.., l00..) of every group of at least ``min_group`` rows; rows of ``vectors``: gs (group keys), x0.."""
+    df = moments.withColumns({f"m{i}": F.col(f"s{i}").cast("double") / F.col("n") / GRID for i in range(k)})
+    cov = lambda i, j: F.col(f"s{i}{j}").cast("double") / F.col("n") / (GRID * GRID) - F.col(f"m{i}") * F.col(f"m{j}")
+    df = df.withColumns({f"v{i}{j}": cov(i, j) * scale + (RIDGE * RIDGE if i == j else 0.0) for i in range(k) for j in range(i + 1)})
+    # the factor's columns from left to right; each needs those before it
+    for j in range(k):
+        rest = lambda i: sum((-F.col(f"l{i}{p}") * F.col(f"l{j}{p}") for p in range(j)), F.col(f"v{i}{j}"))  # noqa: B023, E731
+        df = df.withColumn(f"l{j}{j}", F.sqrt(F.greatest(rest(j), F.lit(1e-9))))
+        if j + 1 < k:
+            df = df.withColumns({f"l{i}{j}": rest(i) / F.col(f"l{j}{j}") for i in range(j + 1, k)})
+    det = sum((F.log(f"l{i}{i}") for i in range(1, k)), F.log("l00"))
+    return df.select(*keys, *CENTRE, *FACTOR, det.alias("det"))
+
+
+def _measured(rows: DataFrame, est: DataFrame) -> DataFrame:
+    """Rows with the squared distance to each estimate of their group."""
+    found = rows.withColumn("salt", _salt()).join(_spread(est), ["g", "salt"])
+    return found.withColumn("d2", distance()).drop("salt", *CENTRE, *FACTOR, "det")
+
+
+def concentrate(rows: DataFrame, est: DataFrame) -> DataFrame:
+    """One step: the estimate (g, start) from the fraction H of rows that lie nearest to the given one."""
+    near = _measured(rows, est).withColumn("bin", F.floor(F.log1p("d2") * BINS))
+    bars = _histograms(near.groupBy("g", "start", F.col("bin").alias("x")).agg(F.sum("w").alias("n")), "g", "start").select("g", "start", _at(F.col("h"), H).alias("bar"))
+    core = near.withColumn("salt", _salt()).join(_spread(bars), ["g", "start", "salt"]).filter("bin <= bar")
+    return materialize(_factor(_moments(core, "g", "start"), OF_CORE, "g", "start"), "estimate")
+
+
+def first_estimates(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """(g, start, m0.., l00.., det): medians and deviations as start 0, then the moments of small subsets."""
     k = len(DIM)
-    # equal vectors of a group are one row with a count: moments and histograms need no more
-    rows = vectors.select(F.explode("gs").alias("g"), *DIM).groupBy("g", *DIM).agg(F.count(F.lit(1)).alias("w"))
-    rows = materialize(rows, "vectors")
-    large = rows.groupBy("g").agg(F.sum("w").alias("n")).filter(F.col("n") >= min_group).select("g")
     values = rows.select("g", "w", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(d).alias("x")) for i, d in enumerate(DIM)])).alias("v"))
     values = values.groupBy("g", F.col("v.i").alias("i"), F.col("v.x").alias("x")).agg(F.sum("w").alias("n"))
-    values = materialize(values.join(large, "g", "left_semi"), "values")
-    centre = _quantile(values, ["g", "i"], "x", 0.5, "med")
-    away = values.join(centre, ["g", "i"]).groupBy("g", "i", F.abs(F.col("x") - F.col("med")).alias("a")).agg(F.sum("n").alias("n"))
-    mad = _quantile(away, ["g", "i"], "a", 0.5, "mad").join(centre, ["g", "i"])
+    middle = _histograms(values, "g", "i").select("g", "i", "h", _at(F.col("h"), 0.5).alias("med"))
+    away = F.sort_array(F.transform("h", lambda c: F.struct(F.abs(c["x"] - F.col("med")).alias("x"), c["n"].alias("n"))))
+    mad = middle.select("g", "i", "med", _at(away, 0.5).alias("mad"))
     pick = lambda i, c: F.max(F.when(F.col("i") == i, c))
     diagonal = [
         (pick(i, F.greatest(F.col("mad") * 1.4826 / GRID, F.lit(RIDGE))) if i == j else F.max(F.lit(0.0))).alias(f"l{i}{j}") for i in range(k) for j in range(i + 1)
     ]
-    est = materialize(mad.groupBy("g").agg(*[pick(i, F.col("med").cast("double") / GRID).alias(f"m{i}") for i in range(k)], *diagonal), "start")
-    for _ in range(steps):
-        salted = rows.withColumn("salt", _salt())
-        measured = salted.join(_spread(est), ["g", "salt"]).withColumn("bin", F.floor(F.log1p(distance()) * BINS))
-        measured = measured.select("g", *DIM, "w", "bin")
-        bars = _quantile(measured.groupBy("g", "bin").agg(F.sum("w").alias("n")), ["g"], "bin", H, "bar")
-        core = measured.withColumn("salt", _salt()).join(_spread(bars), ["g", "salt"]).filter("bin <= bar")
-        big = lambda c: F.sum(c.cast("decimal(38,0)"))
-        moments = core.groupBy("g").agg(
-            F.sum("w").alias("n"),
-            *[big(F.col(DIM[i]) * F.col("w")).alias(f"s{i}") for i in range(k)],
-            *[big(F.col(DIM[i]) * F.col(DIM[j]) * F.col("w")).alias(f"s{i}{j}") for i in range(k) for j in range(i + 1)],
-        )
-        est = materialize(_factor(moments, 1.9), "estimate")
-    return est
+    medians = mad.groupBy("g").agg(*[pick(i, F.col("med").cast("double") / GRID).alias(f"m{i}") for i in range(k)], *diagonal)
+    medians = medians.select("g", F.lit(0).alias("start"), *CENTRE, *FACTOR, F.lit(0.0).alias("det"))
+    drawn = rows.join(large.withColumn("step", F.greatest(F.floor(F.col("n") / SUBSET), F.lit(1))).drop("n"), "g")
+    starts = F.array(*[F.when(F.pmod(F.xxhash64(F.lit(s), *DIM), F.col("step")) == 0, F.lit(s)) for s in range(1, STARTS + 1)])
+    drawn = drawn.withColumn("start", F.explode(F.array_compact(starts)))
+    return materialize(medians.unionByName(_factor(_moments(drawn, "g", "start"), 1.0, "g", "start")), "start")
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
-    """(doc_id, five counts, base_failed, distance, kept) for each row of ``docs``; distance is null without an estimate."""
-    stats = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), statistics(F.col(text_col)).alias("s"))
-    stats = stats.select("doc_id", groups().alias("gs"), "s.*")
+def estimates(vectors: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """(g, m0.., l00.., det) of every group of at least ``min_group`` rows; rows of ``vectors``: gs (group keys), x0.."""
+    # equal vectors of a group are one row with a count: moments and histograms need no more
+    rows = vectors.select(F.explode("gs").alias("g"), *DIM).groupBy("g", *DIM).agg(F.count(F.lit(1)).alias("w"))
+    rows = materialize(rows, "vectors")
+    large = materialize(rows.groupBy("g").agg(F.sum("w").alias("n")).filter(F.col("n") >= min_group), "large")
+    rows = materialize(rows.join(large.select("g"), "g", "left_semi"), "rows")
+    est = first_estimates(rows, large)
+    for _ in range(FIRST_STEPS):
+        est = concentrate(rows, est)
+    least = Window.partitionBy("g").orderBy("det", "start")
+    est = materialize(est.withColumn("r", F.row_number().over(least)).filter("r = 1").drop("r"), "least")
+    for _ in range(MORE_STEPS):
+        est = concentrate(rows, est)
+    inner = _measured(rows, est).filter(F.col("d2") <= INNER)
+    return materialize(_factor(_moments(inner, "g"), OF_INNER, "g"), "estimate")
+
+
+def measured(docs: DataFrame, keep: list, text_col: str, lang_col: str, source_col: str, min_group: int) -> DataFrame:
+    """``keep`` columns, the five counts and the distance to the estimate of the smallest group that has one.
+
+    Texts stay where they are: counts are written beside the kept columns, and each row gets its group's estimate.
+    """
+    stats = docs.select(*keep, F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source"), statistics(F.col(text_col)).alias("__s"))
+    stats = stats.select(*[c for c in stats.columns if c not in ("__lang", "__source", "__s")], groups().alias("gs"), "__s.*")
     stats = materialize(stats.select("*", *vector()), "statistics")
-    est = estimates(stats.filter(~base_failed()), min_group=min_group)
+    est = estimates(stats.filter(~base_failed()), min_group)
     # the smallest group with an estimate: groups of a row are joined by its sets of keys, not by rows
     keys = stats.select("gs").distinct().select("gs", F.posexplode("gs").alias("level", "g"))
-    best = keys.join(est, "g").groupBy("gs").agg(F.max_by(F.struct(*[c for c in est.columns if c != "g"]), "level").alias("e"))
-    joined = stats.withColumn("salt", _salt()).join(_spread(best.select("gs", "e.*")), ["gs", "salt"], "left")
-    return joined.select(
-        "doc_id",
-        *STATS,
-        base_failed().alias("base_failed"),
-        distance().alias("distance"),
-        (~base_failed() & F.coalesce(distance() <= cutoff, F.lit(True))).alias("kept"),
-    )
+    best = keys.join(est, "g").groupBy("gs").agg(F.max_by(F.struct(*CENTRE, *FACTOR), "level").alias("e")).select("gs", "e.*")
+    best = materialize(best, "best")
+    if best.count() <= GROUPS:
+        joined = stats.join(F.broadcast(best), "gs", "left")
+    else:
+        joined = stats.withColumn("salt", _salt()).join(_spread(best), ["gs", "salt"], "left")
+    return joined.withColumn("distance", distance()).drop("gs", "salt", *DIM, *CENTRE, *FACTOR)
 
 
-def filter_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, columns unchanged.
+def kept(cutoff: float = CUTOFF):
+    """Passes the base rules and is no outlier; without an estimate the base rules decide."""
+    return ~base_failed() & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
 
-    Rows are joined with their verdicts by id and a hash of the text, as ids may repeat.
-    """
-    key = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)], key.alias("__key"))
-    lang, source = (docs[options.pop(o, d)] for o, d in (("lang_col", "lang"), ("source_col", "source")))
-    judged = judge(docs.select(key.alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang"), source.alias("source")), **options)
-    kept = judged.groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias("__key"))
-    result = keyed.join(kept, "__key", "left_semi")
-    return result.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+    """(doc_id, five counts, base_failed, distance, kept) for each row of ``docs``; distance is null without an estimate."""
+    found = measured(docs, [F.col(id_col).alias("doc_id")], text_col, lang_col, source_col, min_group)
+    return found.select("doc_id", *STATS, base_failed().alias("base_failed"), "distance", kept(cutoff).alias("kept"))
+
+
+def filter_rows(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+    """The rows of ``docs`` that are kept, columns unchanged."""
+    held = [F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)]
+    found = measured(docs, held, text_col, lang_col, source_col, min_group)
+    return found.filter(kept(cutoff)).select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])

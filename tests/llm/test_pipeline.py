@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from parley.llm import quality_rules
 
@@ -60,3 +63,46 @@ def test_parted_words_are_outliers(spark):
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")).collect()}
     assert all(got[i].kept for i in range(600))
     assert all(not got[i].kept and not got[i].base_failed and got[i].distance < 200 for i in range(1000, 1005))
+
+
+def test_outliers_match_a_plain_estimate(spark):
+    """Determinant, centre and outliers against NumPy: the best of many random starts, concentrated to the end."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9)))
+    docs = [(i, " ".join(word() + ("," if rnd.random() < 0.1 else "") for _ in range(rnd.randrange(60, 400)))) for i in range(500)]
+    docs += [(1000 + i, " ".join(word() * 6 + "###" for _ in range(rnd.randrange(60, 90)))) for i in range(60)]
+    frame = spark.createDataFrame([(i, t, "en", "s") for i, t in docs], "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(frame).collect()}
+    x = frame.select("doc_id", quality_rules.statistics(F.col("text")).alias("s")).select("doc_id", "s.*").select("doc_id", *quality_rules.vector()).orderBy("doc_id").collect()
+    ids, v = [r[0] for r in x], np.array([r[1:] for r in x], float) / quality_rules.GRID
+
+    def estimate(rows, scale):
+        return rows.mean(0), np.cov(rows.T, bias=True) * scale + np.eye(5) * quality_rules.RIDGE**2
+
+    def distances(m, c):
+        return np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(c), v - m)
+
+    best = None
+    gen = np.random.default_rng(3)
+    for _ in range(60):
+        m, c = estimate(v[gen.choice(len(v), 30, replace=False)], 1.0)
+        for _ in range(12):
+            core = np.argsort(distances(m, c))[: int(quality_rules.H * len(v))]
+            m, c = estimate(v[core], quality_rules.OF_CORE)
+        if best is None or np.linalg.det(c) < np.linalg.det(best[1]):
+            best = m, c
+    inner = distances(*best) <= quality_rules.INNER
+    want = distances(*estimate(v[inner], quality_rules.OF_INNER))
+    assert {i for i, d in zip(ids, want) if d > quality_rules.CUTOFF} == {i for i in ids if got[i].distance > quality_rules.CUTOFF} == set(range(1000, 1060))
+    clean = [(got[i].distance, d) for i, d in zip(ids, want) if i < 1000]
+    assert np.corrcoef(np.array(clean).T)[0, 1] > 0.98
+
+
+def test_run(spark, tmp_path):
+    """The whole pipeline: every row is a document that its stages keep, and only the result's folder stays."""
+    from parley.llm.common import WRITTEN
+
+    docs = tables(spark, str(tmp_path))
+    before = len(WRITTEN)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(WRITTEN) == before + 1 and {r.doc_id for r in got} < {d[0] for d in docs} and 1002 not in {r.doc_id for r in got}
