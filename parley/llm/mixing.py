@@ -4,10 +4,16 @@ Every document of a source is taken floor(m) times, m being target over size of
 the source (at most 3), and once more with probability m - floor(m).  The extra
 copies are drawn by the cube method: the fractional inclusion probabilities of
 three documents at a time move along the direction that keeps both their sum
-and the sum of their words, until one of them is 0 or 1.  Documents are dealt
-to blocks of bounded size by a hash; each block ends with at most two open
-documents, which are dealt anew until a source fits one block.  Its last LANDING
-open documents are landed on the choice that comes nearest the source's words.
+and the sum of their words, until one of them is 0 or 1.
+
+A document of more than LARGE of its source's target could not be balanced at
+the end, so these (at most the source's size over LARGE times its target) are
+drawn first, by systematic sampling, and what they take too many or too few is
+made up by the others' probabilities; only where those can't make it up are
+large documents exchanged.  The others are dealt to blocks of bounded size by a
+hash; each block ends with two open documents at most, which are dealt anew
+until a source fits one block.  Its last two are landed by systematic sampling.
+A source's words miss its target by no more than two documents of LARGE.
 
 Random numbers follow from hashes of the ids and a seed: reruns agree.
 
@@ -30,7 +36,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 BLOCK = 4096
 SPREAD = 32
-LANDING = 12
+#: Share of its source's target from which a document is drawn first.
+LARGE = 0.0025
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
@@ -52,28 +59,25 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFram
     return df.withColumn("target", F.least("cap", F.coalesce(factor, F.lit(0.0)) * F.col("w"))).select("source", "source_size", "n_docs", "target")
 
 
-def flight(size: np.ndarray, p: np.ndarray, u: np.ndarray, leave: int = 2) -> np.ndarray:
-    """Moves ``p`` to 0 or 1, keeping its sum and its sum weighted by ``size``; at most ``leave`` (two or more) stay open.
+def flight(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Moves ``p`` to 0 or 1, keeping its sum and its sum weighted by ``size``; at most two stay open, which come late.
 
     ``u``: one uniform number for each row.
     """
     p = p.copy()
     held: list[int] = []
-    opened = np.flatnonzero((p > 0) & (p < 1)).tolist()
-    todo, left = iter(opened), len(opened)
     step = 0
-    while left > leave:
-        while len(held) < 3 and (k := next(todo, None)) is not None:
-            held.append(k)
+    for k in np.flatnonzero((p > 0) & (p < 1)).tolist():
+        held.append(k)
         if len(held) < 3:
-            break
+            continue
         a, b, c = held
         d = (size[c] - size[b], size[a] - size[c], size[b] - size[a])
         if not any(d):
             d = (1.0, -1.0, 0.0)
         up = min((1 - p[i]) / x if x > 0 else -p[i] / x for i, x in zip(held, d, strict=True) if x)
         down = min(p[i] / x if x > 0 else (p[i] - 1) / x for i, x in zip(held, d, strict=True) if x)
-        move = up if u[step % len(u)] * (up + down) < down else -down
+        move = up if u[step] * (up + down) < down else -down
         step += 1
         for i, x in zip(held, d, strict=True):
             p[i] += move * x
@@ -81,36 +85,62 @@ def flight(size: np.ndarray, p: np.ndarray, u: np.ndarray, leave: int = 2) -> np
                 p[i] = 0.0
             elif p[i] > 1 - 1e-9:
                 p[i] = 1.0
-        still = [i for i in held if 0 < p[i] < 1]
-        left -= len(held) - len(still)
-        held = still
+        held = [i for i in held if 0 < p[i] < 1]
     return p
 
 
-def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Closes the last open rows on the 0/1 choice whose words, then rows, come nearest what the open ones stand for."""
+def land(p: np.ndarray, u: float) -> np.ndarray:
+    """Closes the open rows by systematic sampling: each with its probability, as many as they sum to, give or take one."""
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    if len(open_):
-        bits = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
-        words = np.abs(bits @ size[open_] - p[open_] @ size[open_])
-        rows = np.abs(bits.sum(axis=1) - p[open_].sum())
-        p = p.copy()
-        p[open_] = bits[np.lexsort((rows, words))[0]]
+    upto = np.cumsum(p[open_]) + u
+    p = p.copy()
+    p[open_] = np.floor(upto) - np.floor(np.concatenate([[u], upto[:-1]]))
     return p
 
 
+def draw_large(size: np.ndarray, p: np.ndarray, rest: float, u: float) -> np.ndarray:
+    """0 or 1 for each large document, ``rest`` being the words of the others, which all have the first one's ``p``.
+
+    Sizes are descending, so that systematic sampling spreads over them.  What is drawn is exchanged, by the document
+    that comes nearest, only while the others' words can't make up for it.
+    """
+    x = land(p, u)
+    while True:
+        short = ((p - x) * size).sum()
+        excess = max(short - (1 - p[0]) * rest, 0.0) + min(short + p[0] * rest, 0.0)
+        flips = np.flatnonzero(x == (0.0 if excess > 0 else 1.0))
+        if not excess or not len(flips):
+            return x
+        k = flips[np.argmin(np.abs(size[flips] - abs(excess)))]
+        if abs(size[k] - abs(excess)) >= abs(excess):
+            return x
+        x[k] = 1 - x[k]
+
+
+def _large(seed: int):
+    def run(table):
+        import pyarrow as pa
+
+        size, key = (table.column(c).to_numpy() for c in ("size", "key"))
+        order = np.lexsort((key, -size))
+        u = np.random.default_rng([seed, int(key.min()) & (2**63 - 1), len(size)]).random()
+        x = draw_large(size[order].astype(float), table.column("p").to_numpy()[order], float(table.column("rest")[0].as_py()), u)
+        return pa.table({c: (pa.array(x) if c == "p" else table.column(c).take(pa.array(order))) for c in ("doc_id", "source", "size", "key", "p")})
+
+    return run
+
+
 def _round(last: bool, seed: int):
     def run(table):
         import pyarrow as pa
 
-        order = np.lexsort((table.column("size").to_numpy(), table.column("key").to_numpy()))
-        size = table.column("size").to_numpy()[order].astype(float)
-        p = table.column("p").to_numpy()[order]
-        first = int(table.column("key").to_numpy()[order][0]) & (2**63 - 1)
-        u = np.random.default_rng([seed, first, len(size)]).random(len(size) + 1)
-        p = flight(size, p, u, LANDING if last else 2)
+        size, key, p = (table.column(c).to_numpy() for c in ("size", "key", "p"))
+        order = np.lexsort((size, key))
+        size, p = size[order].astype(float), p[order]
+        u = np.random.default_rng([seed, int(key.min()) & (2**63 - 1), len(size)]).random(len(size) + 1)
+        p = flight(size, p, u)
         if last:
-            p = land(size, p)
+            p = land(p, u[-1])
         return pa.table({c: (pa.array(p) if c == "p" else table.column(c).take(pa.array(order))) for c in ("doc_id", "source", "size", "key", "p")})
 
     return run
@@ -138,8 +168,24 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         dealt = open_.withColumn("b", F.lit(0) if last else F.pmod(F.xxhash64("key", F.lit(seed)), blocks))
         return dealt.groupBy("source", "b").applyInArrow(_round(last, seed), schema)
 
+    large = (F.col("p") > 0) & (F.col("size") > F.col("target") * LARGE)
+    first = rows.groupBy("source").agg(F.sum("size").alias("all"))
+    drawn = drawn.withColumn("large", large)
+    big = drawn.filter("large")
+    words = materialize(big.groupBy("source").agg(F.sum("size").alias("big"), F.first("p").alias("p0")).join(first.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "large-words")
+    rest = words.select(F.col("source").alias("s"), (F.col("all") - F.col("big")).alias("rest"))
+    taken = big.join(rest, F.col("source").eqNullSafe(F.col("s"))).drop("s").groupBy("source").applyInArrow(_large(seed), schema)
+    taken = materialize(taken, "large")
+    # the others share what the large ones fall short of
+    got = taken.groupBy("source").agg(F.sum(F.col("size") * F.col("p")).alias("got")).withColumnRenamed("source", "t")
+    shift = words.join(got, F.col("source").eqNullSafe(F.col("t"))).select(F.col("source").alias("s"), (F.col("all") - F.col("big")).alias("rest"), ((F.col("big") * F.col("p0")) - F.col("got")).alias("short"))
+    left = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") + F.coalesce(F.try_divide("short", "rest"), F.lit(0.0))))
+    spread_shift = shift.withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    others = drawn.filter("not large").withColumn("salt1", F.pmod(F.col("key"), F.lit(SPREAD)).cast("int"))
+    others = others.join(spread_shift, F.col("source").eqNullSafe(F.col("s")) & (F.col("salt1") == F.col("salt2")), "left")
+    others = others.withColumn("p", F.when(F.col("p") > 0, left).otherwise(0.0)).select("doc_id", "source", "size", "key", "p", "n_docs")
     blocks = F.greatest(F.ceil(F.col("n_docs") / block), F.lit(1))
-    moved = materialize(rounds(drawn.select("doc_id", "source", "size", "key", "p", "n_docs"), blocks), "flight")
+    moved = materialize(rounds(others, blocks).unionByName(taken), "flight")
     closed, open_ = [moved.filter("p = 0 or p = 1")], moved.filter("p > 0 and p < 1")
     while True:
         left = open_.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))

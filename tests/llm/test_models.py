@@ -2,6 +2,7 @@
 
 import math
 import random
+import string
 from collections import Counter
 
 import numpy as np
@@ -61,6 +62,14 @@ def test_mix_is_near_its_targets(spark):
         assert abs(r.t - r.want) < 60 and abs(r.c - r.n * r.want / r.s) < 8
 
 
+def test_giants_leave_sources_near_their_targets(spark):
+    """Sources of which a few documents hold most words: within one per cent of the target, unless nothing can come nearer."""
+    rnd = random.Random(5)
+    data = [(i, f"s{i % 6}", "w " * (rnd.randrange(3000, 6000) if i % 53 == 0 else rnd.randrange(5, 200))) for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id bigint, source string, text string")).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("want")).collect()
+    assert len(got) == 6 and all(abs(r.t - r.want) <= 0.01 * r.want for r in got)
+
+
 def test_flight_keeps_its_sums():
     rnd = np.random.default_rng(1)
     size, p = rnd.integers(1, 90, 500).astype(float), np.full(500, 0.37)
@@ -212,16 +221,32 @@ def test_markov_model_held_out(spark):
         "worker gets tokens from the next queue and writes what the brown fox jumps over to the shared table of words and other things found"
     ).split()
     docs = spark.createDataFrame([(i, " ".join(rnd.choice(prose) for _ in range(200)), None, None, 0, None, None, None, None) for i in range(20)], COLUMNS)
-    table = secrets.train(secrets.labelled_samples(docs, "doc_id", "text", 50))
+    samples = secrets.labelled_samples(docs, "doc_id", "text", 50)
+    table = secrets.train(samples)
+    bar = secrets.calibrate(samples, table)
     model = F.from_json(F.lit(table), "array<double>")
     alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
     random_ = ["".join(rnd.choice(alphabet) for _ in range(32)) for _ in range(200)]
     names = ["get_word_list_of_items", "parseResponseHeaders2", "the-quick-brown-fox-jumps", "max_tokens_per_batch_size", "thingWordListTau12345x"]
     judged = spark.createDataFrame([(s,) for s in random_ + names], "s string").select("s", secrets.score(F.col("s"), model).alias("x")).collect()
-    hit = {r.s: r.x > secrets.THRESHOLD for r in judged}
+    hit = {r.s: r.x > bar for r in judged}
     assert sum(hit[s] for s in random_) >= 190 and sum(hit[s] for s in names) <= 1
 
 
+def test_unkeyed_secrets_are_found(spark):
+    """Random tokens without a key word before them, by the models alone; identifiers of the same texts are left alone."""
+    rnd = random.Random(12)
+    words = [a + b for a in ("tha", "ere", "ion", "ent", "ou", "bo", "mi", "sta") for b in ("nd", "st", "ly", "re", "wh", "nne", "to", "lia")]
+    kinds = (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/")
+    secret = lambda i: "".join(rnd.choice(kinds[i % 3]) for _ in range(rnd.randrange(20, 44)))
+    name = lambda i: rnd.choice("_-/").join(rnd.choice(words) for _ in range(5)) + str(rnd.randrange(100))
+    text = lambda token: " ".join([*(rnd.choice(words) for _ in range(60)), token, *(rnd.choice(words) for _ in range(5))])
+    planted = {i: secret(i) if i < 300 else name(i) for i in range(600)}
+    got = secrets.scan(spark.createDataFrame([(i, text(t)) for i, t in planted.items()], "doc_id bigint, text string")).collect()
+    found = {r.doc_id for r in got if any(s.kind == "markov" and s.value == planted[r.doc_id] for s in r.secrets)}
+    assert sum(i < 300 for i in found) >= 280 and sum(i >= 300 for i in found) <= 6
+
+
 def test_redact(spark):
     data = [(1, 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'), (2, None), (3, "plain words"), (4, "")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], "doc_id bigint, text string, lang string, source string, n_chars bigint")
