@@ -1,5 +1,8 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
+The rules are written signatures of notices, file headers and license bodies,
+and the names of licenses in the frames in which texts put them.
+
 A text is taken as lower-cased words.  Each rule has an anchor (one keyword
 that every text it fits must hold), a pattern for the words before the anchor
 and one for the words from the anchor on.  Texts without any anchor leave at
@@ -18,6 +21,7 @@ the name of the result column is replaced.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +31,7 @@ from .common import ascii_lower, let
 
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: No rule looks at more words than these before and from its anchor on.
-BEFORE, AFTER = 8, 24
+BEFORE, AFTER = 24, 24
 
 
 @dataclass(frozen=True)
@@ -132,8 +136,211 @@ FRAMES = (
 )
 
 
+#: Notices, headers and bodies, a line each: label, then the signature; the word after ``*`` is its anchor.  Words are
+#: patterns, and ``..`` stands for up to three words of any kind.
+SIGNATURES = """
+mit | permission is hereby *granted free of charge to any person obtaining a copy of this software
+mit | to deal in the software without *restriction including without limitation the rights to use copy modify merge publish
+mit | publish distribute *sublicense and or sell copies of the software
+mit | the above copyright notice and this permission notice shall be included in all copies or *substantial portions of the software
+mit | the software is provided as is without *warranty of any kind express or implied including but not limited to the warranties
+mit | in no event shall the authors or copyright *holders be liable for any claim damages or other liability
+mit-0 | mit no *attribution(?: license)?
+mit | see (?:the )?(?:file )?license(?: md| txt)? file .. *mit
+x11 | except as contained in this notice the name .. shall not be used in *advertising or otherwise to promote
+x11 | this software and its *documentation for any purpose is hereby granted without fee
+isc | permission to use copy modify and or *distribute this software for any purpose with or without fee is hereby granted
+isc | the author *disclaims all warranties with regard to this software including all implied warranties
+0bsd | bsd *zero clause license
+0bsd | zero clause *bsd(?: license)?
+bsd-2 | *redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd-2 | *redistributions in binary form must reproduce the above copyright notice this list of conditions
+bsd-3 | neither the name .. nor the names of its contributors may be used to *endorse or promote products derived from this software
+bsd-3 | may be used to *endorse or promote products derived from this software without specific prior written permission
+bsd-4 | all *advertising materials mentioning features or use of this software must display the following acknowledgement
+bsd | this software is provided by the copyright holders and *contributors as is and any express or implied warranties
+bsd | use of this source code is *governed by a bsd style license
+bsd-3 | use of this source code is *governed by a bsd 3 clause license
+bsd-2 | use of this source code is *governed by a bsd 2 clause license
+mit | use of this source code is *governed by an mit style license
+mit | use of this source code is *governed by the mit license
+apache-2 | use of this source code is *governed by the apache
+bsd-3-clear | *clear bsd license
+bsd-patent | bsd .. plus *patent
+apache-2 | licensed under the *apache license version 2 0 the license you may not use this file except in compliance
+apache-2 | you may not use this file except in *compliance with the license you may obtain a copy of the license at
+apache-2 | unless required by *applicable law or agreed to in writing software distributed under the license is distributed
+apache-2 | www *apache org licenses license 2 0
+apache-2 | licensed to the *apache software foundation asf under one or more contributor license agreements
+apache-2 | subject to the terms and conditions of this license each *contributor hereby grants to you a perpetual worldwide non exclusive
+apache-1.1 | this product includes software developed by the *apache software foundation
+gpl-2 | free *software foundation either version 2 of the license or at your option any later version
+gpl-3 | free *software foundation either version 3 of the license or at your option any later version
+gpl-2 | *gnu general public license version 2 only
+gpl-3 | *gnu general public license version 3 only
+gpl | this program is free software you can *redistribute it and or modify it under the terms of the gnu general public license
+gpl | you should have received a copy of the *gnu general public license along with this program
+gpl | under the terms of the *gnu gpl
+gpl | the *gnu general public license is a free copyleft license for software and other kinds of works
+gpl-2 | *gnu general public license version 2 june 1991
+gpl-3 | *gnu general public license version 3 29 june 2007
+gpl-1 | *gnu general public license version 1 february 1989
+gpl | everyone is permitted to copy and distribute *verbatim copies of this license document but changing it is not allowed
+gpl-2-classpath | as a special exception .. linking this .. *classpath exception
+gpl-2-classpath | *classpath exception
+lgpl | you can *redistribute it and or modify it under the terms of the gnu lesser general public license
+lgpl | you can *redistribute it and or modify it under the terms of the gnu library general public license
+lgpl-2.1 | *lesser general public license version 2 1 february 1999
+lgpl-3 | *lesser general public license version 3 29 june 2007
+agpl-3 | *affero general public license version 3 19 november 2007
+agpl | you can *redistribute it and or modify it under the terms of the gnu affero general public license
+agpl | interacting with it *remotely through a computer network
+gfdl-1.3 | permission is granted to copy distribute and or modify this document under the terms of the *gnu free documentation license
+gfdl | no *invariant sections no front cover texts and no back cover texts
+mpl-2 | this source code form is subject to the terms of the *mozilla public license v 2 0
+mpl-2 | if a copy of the *mpl was not distributed with this file you can obtain one at
+mpl-1.1 | the contents of this file are subject to the *mozilla public license version 1 1 the license
+mpl-1.1 | software distributed under the license is distributed on an as is *basis without warranty of any kind either express or implied see the license
+npl-1.1 | *netscape public license
+epl-1 | this program and the accompanying materials are made available under the terms of the *eclipse public license v1 0
+epl-2 | this program and the accompanying materials are made available under the terms of the *eclipse public license 2 0
+edl-1 | made available under the terms of the *eclipse distribution license v ?1 0
+cddl-1 | the contents of this file are subject to the terms of the common *development and distribution license
+cddl-1.1 | common *development and distribution license .. version 1 1
+cpl-1 | accompanying materials .. *common public license
+ipl-1 | *ibm public license
+osl-3 | *open software license .. 3 0
+afl-3 | *academic free license .. 3 0
+apsl-2 | *apple public source license
+qpl-1 | q *public license version 1
+zlib | this software is provided as is without any express or implied warranty in no event will the authors be held *liable
+zlib | altered source versions must be *plainly marked as such and must not be misrepresented as being the original software
+zlib | the *origin of this software must not be misrepresented you must not claim that you wrote the original software
+bsl-1 | distributed under the *boost software license version 1 0
+bsl-1 | permission is hereby granted free of charge to any person or *organization obtaining a copy of the software and accompanying documentation
+busl-1.1 | *business source license 1 1
+busl-1.1 | the licensor hereby grants you the right to copy modify create *derivative works redistribute and make non production use
+sspl-1 | *server side public license
+elastic-2 | *elastic license 2 0
+elastic-2 | you may not provide the *software to third parties as a hosted or managed service
+commons-clause | *commons clause license condition
+commons-clause | the grant of rights under the license will not include .. the right to *sell the software
+polyform-noncommercial | *polyform noncommercial license
+polyform-shield | *polyform shield license
+unlicense | this is free and *unencumbered software released into the public domain
+unlicense | anyone is free to copy modify publish use *compile sell or distribute this software
+wtfpl | do what the *fuck you want to public license
+cc0 | to the extent possible under law .. *waived all copyright and related or neighboring rights
+cc0 | *creativecommons org publicdomain zero 1 0
+public-domain | *creativecommons org publicdomain mark 1 0
+cc-by | *creativecommons org licenses by [1-4]
+cc-by-sa | *creativecommons org licenses by sa [1-4]
+cc-by-nc | *creativecommons org licenses by nc [1-4]
+cc-by-nd | *creativecommons org licenses by nd [1-4]
+cc-by-nc-sa | *creativecommons org licenses by nc sa [1-4]
+cc-by-nc-nd | *creativecommons org licenses by nc nd [1-4]
+cc-by | licensed under a *creative commons attribution [1-4] [0-9] international
+cc-by-sa | licensed under a *creative commons attribution sharealike [1-4] [0-9] international
+cc-by-nc | licensed under a *creative commons attribution noncommercial [1-4] [0-9] international
+cc-by-nc-nd | licensed under a *creative commons attribution noncommercial noderivatives [1-4] [0-9] international
+cc-by-nc-sa | licensed under a *creative commons attribution noncommercial sharealike [1-4] [0-9] international
+cc-by-nd | licensed under a *creative commons attribution noderivatives [1-4] [0-9] international
+cc-by | text is available under the *creative commons attribution
+cc-by-sa | text is available under the *creative commons attribution sharealike license
+cc-by | *cc by 4 0
+cc-by-sa | *cc by sa 4 0
+ofl-1.1 | this font software is licensed under the *sil open font license version 1 1
+ofl-1.1 | with *reserved font name
+artistic-1 | the *artistic license preamble
+artistic-2 | *artistic license 2 0
+perl | under the same terms as *perl itself
+perl | the same terms as the *perl 5 programming language
+psf-2 | psf license agreement for *python
+psf-2 | *python software foundation license version 2
+zpl-2.1 | *zope public license
+php-3 | this product includes *php software freely available from
+ruby | *ruby license
+ruby | the same terms as *ruby
+tcl | tcl *tk license
+vim | *vim license
+curl | *curl license
+libpng | *libpng license
+ijg | *independent jpeg group
+openssl | this product includes software developed by the *openssl project for use in the openssl toolkit
+ssleay | this product includes *cryptographic software written by
+unicode | *unicode license agreement
+unicode-3 | *unicode license v3
+w3c | w3c *software notice and license
+postgresql | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written *agreement is hereby granted
+ncsa | permission is hereby granted free of charge .. *ncsa open source license
+eupl-1.2 | licensed under the *eupl version 1 2
+eupl-1.1 | licensed under the *eupl version 1 1
+cecill-2.1 | *cecill version 2 1
+cecill-b | *cecill b
+cecill-c | *cecill c
+cecill | *cecill
+mulan-psl-2 | *mulan psl v2
+mulan-psl-2 | *mulan permissive software license
+ms-pl | *ms pl
+ms-rl | *ms rl
+odbl-1 | open data commons open *database license
+odc-by-1 | open data commons *attribution license
+pddl-1 | public domain *dedication and license
+cdla-permissive-2 | community data license agreement *permissive version 2 0
+cdla-sharing-1 | community data license agreement *sharing version 1 0
+openrail | *openrail license
+openrail-m | *openrail m
+bigscience-rail | *bigscience .. rail license
+llama | *llama [0-9]* ?community license agreement
+gemma | *gemma terms of use
+beerware | the *beer ware license
+beerware | *beerware license
+json | the software shall be used for good not *evil
+hippocratic | *hippocratic license
+anti996 | *anti 996 license
+upl-1 | *universal permissive license
+blueoak-1 | *blue oak model license
+cpal-1 | *common public attribution license
+ecl-2 | *educational community license
+lppl-1.3c | *latex project public license
+ogl-uk-3 | *open government licence v3 0
+ogl-uk | *open government licence
+crown-copyright | *crown copyright
+us-government | this is a work of the united states *government
+proprietary | *confidential and proprietary
+proprietary | *unauthorized copying of this file via any medium is strictly prohibited
+proprietary | *unauthorized reproduction or distribution
+proprietary | no part of this .. may be *reproduced .. without the prior written permission
+proprietary | this software is the *confidential and proprietary information of
+proprietary | *proprietary and confidential
+proprietary | licensed not *sold
+proprietary | *end user license agreement
+proprietary | *nutzungsrechte vorbehalten
+proprietary | alle rechte *vorbehalten
+proprietary | tous droits *reserves
+proprietary | todos los derechos *reservados
+non-commercial | for *noncommercial use only
+non-commercial | for non *commercial use only
+non-commercial | not for *commercial use
+non-commercial | for *academic use only
+non-commercial | for *research purposes only
+non-commercial | free for *personal use
+no-derivatives | no *derivative works
+"""
+
+
+def signature(line: str) -> Rule:
+    """A rule from a line of SIGNATURES; whole sentences come before tags of the same start, short ones after."""
+    label, text = (x.strip() for x in line.split(" | "))
+    before, _, after = text.partition("*")
+    anchor = re.match("[a-z0-9]+", after)[0]
+    any_words = lambda t: t.replace("..", "(?:[^ ]+ ){0,3}?").replace("){0,3}? ", "){0,3}?")
+    long = len(text.split()) >= 6
+    return Rule(label, anchor, any_words(before), any_words(after) + " ", 1 if long else 4, 0.9 if long else 0.7)
+
+
 def rules() -> list[Rule]:
-    """The base phrases, then every name in every frame, in the order of their priorities."""
+    """The base phrases, the written signatures, then every name in every frame, in the order of their priorities."""
     made = [
         Rule(label, anchor, before + left, right + after + " ", priority, score)
         for before, after, priority, score in FRAMES
@@ -141,7 +348,7 @@ def rules() -> list[Rule]:
         if not (after and not before and "licen" in right)
     ]
     bare = [Rule(label, anchor, left, right + " ", 5, 0.6) for label, anchor, left, right in NAMES if "licen" in right or label.startswith(("cc-", "public", "propr"))]
-    return [*BASE_RULES, *made, *bare]
+    return [*BASE_RULES, *map(signature, SIGNATURES.strip().splitlines()), *made, *bare]
 
 
 DETECTION = "array<struct<start:bigint,reach:bigint,priority:int,rule:int,end:bigint,label:string,score:double,base:boolean>>"

@@ -1,5 +1,7 @@
 """The contract queries' operators against plain Python, over the hard cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,17 @@ def test_license_suppression(spark):
     assert [(d.start, d.end, d.label) for d in kept] == [(0, 9, "gpl-3"), (10, 14, "cc-by-nc-sa")]
 
 
+def test_license_signatures(spark):
+    """Every written signature is found in a text that holds it, and prose holds none."""
+    lines = [x.split(" | ") for x in licenses.SIGNATURES.strip().splitlines()]
+    plain = lambda t: re.sub(r"\[[0-9-]+\]\*?", "4", re.sub(r"\(\?:([^)|]*)[^)]*\)\?|[*?]", r"\1", t)).replace("..", "acme tools")
+    data = [(i, f"Tools of acme. {plain(text)} And more.") for i, (_, text) in enumerate(lines)] + [(-1, "The quick brown fox reads a free book by the lake and pays for it.")]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.verdicts(licenses.scan(spark.createDataFrame(data, "doc_id bigint, text string"))).collect()}
+    assert got[-1] == [""]
+    empty = [(lines[i][1], got[i]) for i in range(len(lines)) if got[i] == [""]]
+    assert not empty and sum(label.strip() in got[i] for i, (label, _) in enumerate(lines)) > 0.8 * len(lines)
+
+
 def test_quality_counts(spark):
     got = frame(spark).select("doc_id", quality_rules.statistics(F.col("text")).alias("s")).select("doc_id", "s.*")
     assert keyed(got, *quality_rules.STATS) == expected(brute.quality)
@@ -70,6 +83,16 @@ def test_proximity(spark):
     assert keyed(got, "items", "near_items") == [(1, [], ["1"]), (2, ["1"], []), (3, [], []), (4, [], [])]
 
 
+def test_decontaminated_rows(spark):
+    """A long document with one passage goes, whatever its share; short items have to make up a twentieth."""
+    passage = " ".join(f"p{i}" for i in range(13))
+    bench = spark.createDataFrame([(1, passage), (2, "two words")], "item_id bigint, text string")
+    filler = " ".join(f"w{i}" for i in range(2000))
+    data = [(1, f"{filler} {passage} {filler}"), (2, f"{filler} two words {filler}"), (3, "here are two words"), (4, filler), (4, passage), (None, None), (4, filler)]
+    kept = decontaminate.decontaminate(spark.createDataFrame(data, "doc_id bigint, text string"), bench).collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:9]) for r in kept) == sorted([("2", data[1][1][:9]), ("4", filler[:9]), ("4", filler[:9]), ("None", "")])
+
+
 URLS = [
     None, "", "no scheme", "http://a.net/x", "HTTP://A.B.NET/en/1?q=net/", "https://example.net/en/", "https://www.example.net/en/x#y", "https://notexample.net/en/x",
     "http://example.com/de/1", "http://example.com/DE/1", "http://m.example.com/de", "ftp://x.org/fr/z", "http://org/fr/", "http://net", "http://net/", "://net/", "http://a://b.net/",
@@ -88,6 +111,12 @@ def test_urls(spark):
         host, path, rule, verdict = want[r.page_id][0]
         assert (r.host, r.path, r.rule) == (host, path, rule), r
         assert verdict is None or r.verdict == verdict
+    own = {
+        "http://ads7.shop.example.com/x": "block", "http://dev.to/x": "allow", "http://x.com/Login/": "block", "http://x.com/logins": "allow", "http://x.com/a/b.PDF": "allow", "http://x.com/a.Zip": "block",
+        "http://x.com/cart": "block", "http://x.com/cartoon": "allow", "http://best-casino.x.com/": "block", "http://occasino.x.com/": "allow", "http://x.com/buy-essay/1": "block", "http://x.com/utm-feed": "block",
+    }
+    frame = spark.createDataFrame(list(enumerate(own)), "page_id bigint, url string")
+    assert {r.page_id: r.verdict for r in url_filters.judge(frame).collect()} == dict(enumerate(own.values()))
     assert {r.page_id: r.verdict for r in got}[17] == "block" and {r.page_id: r.verdict for r in got}[19] == "allow"
 
 
