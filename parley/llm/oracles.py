@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .stupid_backoff import ALPHA
-from .url_filters import BASE, WORDS
+from .url_filters import BASE, rules
 
 ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -18,7 +18,7 @@ def _urls() -> str:
     for r in BASE:
         host, path = r.name[: r.name.index("/")], r.name[r.name.index("/") :]
         fits.append(f"case when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}') then {{'n': {len(r.name)}, 'rule': '{r.name}', 'verdict': '{r.verdict}'}} end")
-    own = "|".join("[^A-Za-z0-9]+".join(w.split()) for w in WORDS)
+    own = "|".join(f"(?:{r.pattern})" for r in rules() if r.rank).replace("'", "''")
     return f"""
 with parsed as (
   select page_id,
@@ -29,7 +29,7 @@ with parsed as (
   select *, list_max(list_filter([{", ".join(fits)}], lambda x: x is not null)) as best from parsed
 )
 select page_id, host, path, best.rule as rule,
-  coalesce(best.verdict, case when regexp_matches(host || path, '(?:^|[^A-Za-z0-9])(?:{own})(?:$|[^A-Za-z0-9])') then 'block' else 'allow' end) as verdict
+  coalesce(best.verdict, case when regexp_matches(host || path, '{own}') then 'block' else 'allow' end) as verdict
 from judged"""
 
 
@@ -68,10 +68,20 @@ found as (
   select p.row, p.i, p.n, w.item_id from (select row, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') as g from places) p
   join windows w on w.n = p.n and w.g = p.g
 ), hit as (select row, count(distinct k) as n_hit from (select row, unnest(range(i, i + n)) as k from found) group by row),
-owners as (select row, count(distinct item_id) as n_items, sha256(string_agg(distinct item_id, ',' order by item_id)) as sha from found group by row)
+owners as (select row, count(distinct item_id) as n_items, sha256(string_agg(distinct item_id, ',' order by item_id)) as sha from found group by row),
+posting as (select row, i, ws[i] as term from (select row, ws, unnest(range(1, len(ws) + 1)) as i from docs)),
+freq as (select term, count(*) as df from posting group by term),
+sets as (select item_id, g, list_distinct(string_split(g, ' ')) as terms from windows),
+rare as (select item_id, terms, min_by(term, coalesce(df, 0)) as term from (select item_id, g, terms, unnest(terms) as term from sets) left join freq using (term) group by item_id, g, terms),
+near as (
+  select distinct p.row, r.item_id from rare r join posting p using (term) join docs on docs.row = p.row
+  where list_has_all(list_slice(ws, greatest(p.i - 25, 1), p.i + 25), r.terms)
+    and len(list_filter(range(p.i - 25, p.i + 1), lambda s: list_has_all(list_slice(ws, greatest(s, 1), s + 25), r.terms))) > 0
+), close as (select row, count(*) as n_near from near anti join found using (row, item_id) group by row)
 select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(sha, sha256('')) as items_sha256,
-  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
-from docs left join hit on hit.row = docs.row left join owners on owners.row = docs.row"""
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated,
+  coalesce(n_near, 0) as n_near
+from docs left join hit on hit.row = docs.row left join owners on owners.row = docs.row left join close on close.row = docs.row"""
 
 ORACLES: dict[str, str] = {
     "op4_backoff_scores": _OP4,

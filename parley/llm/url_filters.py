@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, skew_join
 
 BROADCAST_RULES = 100_000
+#: Runs of letters or of digits: a number that may follow a literal doesn't change its token.
+TOKEN = "[a-z]+|[0-9]+"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``tokens``: ASCII alphanumeric runs, bounded by other characters, that every match of ``pattern`` holds."""
+    """``tokens``: runs of lower-cased ASCII letters or of digits that every match of ``pattern`` holds."""
 
     name: str
     verdict: str
@@ -44,13 +46,30 @@ class Rule:
 
 def host_rule(verdict: str, host: str, path: str, rank: int = 0) -> Rule:
     """Fits ``host`` and its subdomains where the path starts with ``path`` (which ends in a slash)."""
-    return Rule(host + path, verdict, rank, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}", tuple(re.findall("[A-Za-z0-9]+", host + path)))
-
-
-def word_rule(verdict: str, words: str, rank: int = 1) -> Rule:
-    """Fits URLs in which these words stand one after the other, parted by any other characters."""
-    tokens = tuple(words.split())
-    return Rule(words, verdict, rank, "(?:^|[^A-Za-z0-9])" + "[^A-Za-z0-9]+".join(tokens) + "(?:$|[^A-Za-z0-9])", tokens)
+    return Rule(host + path, verdict, rank, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}", tuple(re.findall(TOKEN, (host + path).lower())))
+
+
+def pattern_rule(verdict: str, pattern: str, rank: int = 1) -> Rule:
+    """A rule written as a small pattern over the lower-cased host followed by the path.
+
+    ``.x.`` is a label of the host above the domain, ``.x`` a word of any label, ``/x`` a whole segment of the path,
+    ``/x*`` the head of one, ``*.x`` a suffix of the file, ``a b`` words that stand one after the other; ``#`` is a run
+    of digits and may be empty.
+    """
+    body = re.escape(pattern.strip(".*/")).replace(r"\#", "[0-9]*").replace(r"\ ", "[^A-Za-z0-9]+")
+    if pattern.startswith("*."):
+        made = rf"/[^/]*\.(?i:{body})$"
+    elif pattern.startswith(".") and pattern.endswith("."):
+        made = rf"^(?:[^/]*\.)?{body}\.[^/.]+\."
+    elif pattern.startswith("."):
+        made = rf"^(?:[^/]*[.-])?{body}(?:[.-][^/]*)?(?:/|$)"
+    elif pattern.endswith("*"):
+        made = rf"^[^/]+/(?:[^/]*/)*(?i:{body})"
+    elif pattern.startswith("/"):
+        made = rf"^[^/]+/(?:[^/]*/)*(?i:{body})(?:/|\.[a-z]+$|$)"
+    else:
+        made = rf"(?:^|[^A-Za-z0-9])(?i:{body})(?:$|[^A-Za-z0-9])"
+    return Rule(pattern, verdict, rank, made, tuple(re.findall(TOKEN, pattern.lower())))
 
 
 BASE = (
@@ -60,19 +79,48 @@ BASE = (
     host_rule("allow", "org", "/fr/"),
 )
 
-#: The method's own rules, for URLs that no base rule fits.
-WORDS = (
-    "spam farm", "ads track", "link farm", "casino", "poker", "slots", "betting", "jackpot", "viagra", "cialis", "pharmacy",
-    "payday loan", "quick cash", "xxx", "porn", "adult", "escort", "webcam", "torrent", "warez", "crack",
-    "keygen", "serial key", "free download", "click here", "buy now", "cheap", "replica", "coupon", "promo code", "affiliate",
-    "adserver", "doubleclick", "banner ads", "popunder", "tracker", "pixel gif", "wp login", "wp admin", "xmlrpc", "cgi bin",
-    "phpmyadmin", "install exe", "setup exe", "login php", "signin", "signup", "unsubscribe", "checkout", "cart", "captcha",
-    "parked", "domain for sale", "sedoparking", "bulk mail", "seo services", "backlinks", "essay writing", "fake news", "clickbait",
+#: The method's own rules, for URLs that no base rule fits: what they point at is no text to learn from.
+HOST_WORDS = "casino casinos poker porn xxx adult viagra cialis warez torrent torrents camgirls escorts betting sportsbook payday adserver doubleclick sedoparking"
+HOST_LABELS = """
+ad# ads# adserver# adserv adservice adservices adclick adimg adlog adsrv adnetwork adsystem adtrack adtech adtag adx banner# banners beacon# bannerads clicks# clicktrack
+counter# count# creatives cdn-ads conversion cpc cpm dsp impression impressions metrics# pixel# pixels popads popunder popup pops promo# retarget rtb ssp stats# statistics
+syndication tag# tags telemetry track# tracker# trackers tracking trk analytics# weblog webstats affiliate affiliates partners-ads sponsor sponsored
+casino casinos poker slots bingo roulette betting bets sportsbook jackpot lottery porn xxx adult escorts webcams camgirls hentai milf
+warez cracks keygens torrents torrent serialz nulled pharma viagra cialis payday loans-now replica-watches
+parked parking forsale domainparking sedoparking webmail mail# smtp# imap# autodiscover cpanel whm plesk phpmyadmin login signin sso auth accounts oauth secure-login
+staging# dev# test# uat# qa# sandbox# localhost status# git svn jenkins grafana kibana
+img# images# image# static# assets# cdn# media# thumbs# thumb# avatars gravatar
+"""
+SEGMENTS = """
+login log-in logon signin sign-in signup sign-up register registration logout log-out signout password password-reset forgot-password lost-password reset-password account my-account
+myaccount profile-edit user-login wp-login wp-admin wp-cron wp-json xmlrpc administrator admin-ajax cpanel phpmyadmin webmail auth oauth oauth2 sso saml two-factor verify-email
+cart basket shopping-cart add-to-cart checkout wishlist compare-products order-status track-order payment payments paypal gift-cards coupons coupon voucher
+search-results advanced-search tagcloud sitemap sitemap_index site-map feed rss atom amp-ad trackback pingback print printer-friendly print-version email-friend
+share sharer share-this tell-a-friend bookmark unsubscribe opt-out optout newsletter-signup subscribe-now cgi-bin cgi scripts ajax api graphql rpc webhook
+captcha recaptcha challenge cdn-cgi error404 404 403 500 maintenance coming-soon under-construction test-page hello-world lorem-ipsum default-page
+ads ad adserver adframe banner banners popunder popup pixel beacon track tracker tracking redirect redir out goto exit outgoing click clickthrough affiliate affiliates sponsored
+privacy-policy privacy cookie-policy cookies terms-of-service terms-of-use terms-and-conditions tos legal-notice imprint impressum disclaimer dmca accessibility-statement
+casino poker slots blackjack roulette betting jackpot porn xxx nude escorts hookup camgirls viagra cialis levitra tramadol payday-loan payday-loans
+keygen crack cracks serial-key warez nulled torrent torrents magnet-links free-download-full
+"""
+FILES = """
+jpg jpeg png gif bmp ico svg webp tif tiff psd mp3 mp4 m4a m4v avi mov mkv webm wmv flv wav ogg flac zip rar 7z tar gz bz2 xz tgz iso dmg exe msi apk deb rpm bin jar war dll
+css js json xml woff woff2 ttf eot otf swf map dat sql bak torrent nzb ics vcf kml gpx shp dwg
+"""
+PHRASES = (
+    "spam farm", "link farm", "ads track", "adult x", "buy now cheap", "cheap viagra", "cheap cialis", "online casino", "casino bonus", "free spins", "poker online", "slots online",
+    "sports betting", "bet now", "payday loan", "quick cash", "fast cash loan", "work from home", "make money fast", "get rich", "lose weight fast", "diet pills", "male enhancement",
+    "replica watches", "fake passport", "essay writing service", "buy essay", "buy followers", "buy likes", "buy backlinks", "seo backlinks", "guest post service", "click here now",
+    "free download full", "serial key", "license key generator", "crack download", "full version free", "watch online free", "streaming free hd", "free porn", "sex videos", "live sex",
+    "nude pics", "escort service", "hot singles", "adult dating", "domain for sale", "buy this domain", "bulk email", "email leads",
 )
 
 
 def rules() -> list[Rule]:
-    return [*BASE, *(word_rule("block", w) for w in WORDS)]
+    """The base rules, then the method's own by family."""
+    families = [*(f".{x}" for x in HOST_WORDS.split()), *(f".{x}." for x in HOST_LABELS.split()), *(f"/{x}/" for x in SEGMENTS.split()), *(f"*.{x}" for x in FILES.split()), *PHRASES]
+    heads = [f"/{x}-*" for x in ("utm", "sessionid", "phpsessid", "jsessionid", "gclid", "fbclid", "aff", "ref-id")]
+    return [*BASE, *(pattern_rule("block", p) for p in dict.fromkeys([*families, *heads]))]
 
 
 def host_of(url: Column) -> Column:
@@ -84,7 +132,8 @@ def path_of(url: Column) -> Column:
 
 
 def tokens_of(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(text, "[^A-Za-z0-9]+", -1)), lambda t: t != "")
+    """Distinct runs of ASCII letters and of digits, lower-cased."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
 
 
 def index(url_tokens: DataFrame, signatures: list[Rule]) -> DataFrame:
