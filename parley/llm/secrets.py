@@ -5,7 +5,7 @@ ordinary identifiers; a token is a secret when the mean log-likelihood ratio
 of its character pairs is above a threshold.  Labelled samples: random strings
 are digests in hex, base64 and alphanumeric form together with the values that
 the base patterns find in the sampled documents; identifiers are the letter
-runs of the same documents, alone and joined the way code joins them.  The
+runs that stand alone in the same documents, as they are and joined the way code joins them.  The
 sample is bounded: SAMPLE_DOCS documents, chosen by a hash of their id.  The
 models are two tables over pairs of ASCII characters, so their size is fixed.
 
@@ -35,10 +35,11 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_GATE = ASSIGN.removesuffix("+)") + "{12})"
 KINDS = ("assign", "access", "hex", "markov")
 #: Candidates for the models: whole runs of token characters with a digit and a letter.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-SAMPLE_DOCS = 2000
-#: Mean log-likelihood ratio per character pair from which a candidate counts as random.
-THRESHOLD = 0.7
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
+SAMPLE_DOCS, DIGESTS = 2000, 2000
+#: A candidate counts as random from the mean log-likelihood ratio per character pair that all but MISSED of the random
+#: samples reach; at least LEAST and at most MOST (figures in the README).
+MISSED, LEAST, MOST = 0.02, 0.7, 1.6
 ALPHABET = 128
 
 
@@ -82,10 +83,10 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def digests(spark: SparkSession, n: int) -> DataFrame:
-    """(random) strings of the three usual alphabets."""
+    """(random) strings of the usual alphabets: hex in either case, base64, letters and digits."""
     raw = spark.range(n).select(F.sha2(F.concat(F.lit("parley"), F.col("id").cast("string")), 256).alias("h"))
     wide = F.base64(F.unhex("h"))
-    return raw.select(F.explode(F.array(F.substring("h", 1, 40), F.substring(wide, 1, 40), F.regexp_replace(wide, "[^A-Za-z0-9]", ""))).alias("s"))
+    return raw.select(F.explode(F.array(F.substring("h", 1, 40), F.upper(F.substring("h", 24, 40)), F.substring(wide, 1, 40), F.regexp_replace(wide, "[^A-Za-z0-9]", ""))).alias("s"))
 
 
 def labelled_samples(docs: DataFrame, id_col: str, text_col: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -98,13 +99,15 @@ def labelled_samples(docs: DataFrame, id_col: str, text_col: str, sample_docs: i
     found = base_spans(F.col("t"))
     secret = mine.select(F.explode(F.flatten(F.array(*[F.transform(found[k], lambda s: s["value"]) for k in ("assign", "access", "hex")]))).alias("m"))
     secret = secret.select(F.regexp_extract("m", r"[A-Za-z0-9+/_.=-]+$", 0).alias("s"))
-    words = F.regexp_extract_all(F.col("t"), F.lit("[A-Za-z]{3,}"), F.lit(0))
+    # words that stand alone: a random token's letters must not train the model of identifiers
+    words = F.regexp_extract_all(F.col("t"), F.lit("(?<![^\\s(\"'])[A-Za-z]{3,}(?![^\\s.,;:!?)\"'])"), F.lit(0))
     snake = let(words, lambda w: F.transform(F.filter(w, lambda _, i: i % 3 == 0), lambda a, i: F.concat_ws("_", F.slice(w, i * 3 + 1, F.lit(3)))))
     camel = let(words, lambda w: F.transform(F.filter(w, lambda _, i: i % 3 == 0), lambda a, i: F.array_join(F.transform(F.slice(w, i * 3 + 1, F.lit(3)), lambda x: F.initcap(x)), "")))
+    path = F.transform(snake, lambda x: F.translate(x, "_", "/"))
     numbered = let(words, lambda w: F.transform(F.filter(w, lambda _, i: i % 5 == 0), lambda a, i: F.concat(a, F.lit("-"), (i % 100).cast("string"))))
-    plain = mine.select(F.explode(F.concat(words, snake, camel, numbered)).alias("s"))
+    plain = mine.select(F.explode(F.concat(words, snake, camel, path, numbered)).alias("s"))
     return (
-        digests(spark, sample_docs).unionByName(secret).select("s", F.lit(True).alias("random"))
+        digests(spark, DIGESTS).unionByName(secret).select("s", F.lit(True).alias("random"))
         .unionByName(plain.select("s", F.lit(False).alias("random")))
     )
 
@@ -138,6 +141,13 @@ def train(samples: DataFrame) -> str:
     return json.dumps(table)
 
 
+def calibrate(samples: DataFrame, model: str) -> float:
+    """The threshold that the random ones of the bounded labelled samples set."""
+    scores = samples.filter(F.col("random") & (F.char_length("s") >= 16)).select(score(F.col("s"), F.from_json(F.lit(model), "array<double>")).alias("x"))
+    found = scores.agg(F.percentile("x", MISSED)).first()[0]
+    return LEAST if found is None else min(max(found, LEAST), MOST)
+
+
 def score(s: Column, model: Column) -> Column:
     """Mean log-likelihood ratio per character pair."""
     return let(
@@ -151,9 +161,15 @@ def score(s: Column, model: Column) -> Column:
     )
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_docs: int = SAMPLE_DOCS, out: str = "secrets") -> DataFrame:
-    """``docs`` plus ``out``: array of struct(start, end, kind, value), by start and kind order; base kinds first."""
-    model = F.from_json(F.lit(train(labelled_samples(docs, id_col, text_col, sample_docs))), "array<double>")
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None, sample_docs: int = SAMPLE_DOCS, out: str = "secrets") -> DataFrame:
+    """``docs`` plus ``out``: array of struct(start, end, kind, value), by start and kind order; base kinds first.
+
+    ``threshold``: of the mean log-likelihood ratio, ``calibrate``'s where not given.
+    """
+    samples = labelled_samples(docs, id_col, text_col, sample_docs)
+    table = train(samples)
+    threshold = calibrate(samples, table) if threshold is None else threshold
+    model = F.from_json(F.lit(table), "array<double>")
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = base_spans(text)
     base = F.concat(found["assign"], found["access"], found["hex"])
