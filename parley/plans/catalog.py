@@ -620,7 +620,15 @@ def q43_stratified_sample(spark, d):
     return sampling.quota(table(spark, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"], 20)
 
 
-@query()
+@query(f"""with recursive pool as materialized (select doc_id, coalesce(lang, '') as g, coalesce(source, '') as s from (select *, row_number() over (partition by lang, source order by doc_id) as r from documents where len({SPACED}) >= 3) where r <= 8),
+steps as materialized (select row_number() over (order by pass, doc_id) as k, doc_id, g, s, cap from pool, (values (1, 25), (2, 100)) p(pass, cap)),
+f as (select 0::bigint as k, 0 as total, map([]::varchar[], []::int[]) as gs, map([]::varchar[], []::int[]) as ss, []::bigint[] as chosen union all
+  select k, total + ok, case when ok = 1 then map_concat(gs, map([g], [coalesce(gs[g], 0) + 1])) else gs end, case when ok = 1 then map_concat(ss, map([s], [coalesce(ss[s], 0) + 1])) else ss end,
+    case when ok = 1 then list_append(chosen, doc_id) else chosen end
+  from (select t.k, t.doc_id, t.g, t.s, f.total, f.gs, f.ss, f.chosen, case when f.total < 100 and coalesce(f.gs[t.g], 0) < t.cap and coalesce(f.ss[t.s], 0) < 8 and not list_contains(f.chosen, t.doc_id) then 1 else 0 end as ok
+    from f join steps t on t.k = f.k + 1 where f.total < 100) u),
+last as (select chosen from f order by k desc limit 1)
+select c.doc_id as row_idx, lang as nhom, source as nguon, cast(pick as int) as pick from (select unnest(chosen) as doc_id, unnest(range(len(chosen))) as pick from last) c join documents d on d.doc_id = c.doc_id""")
 def q44_two_quota_sample(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("row_idx"), "text", F.col("lang").alias("nhom"), F.col("source").alias("nguon"))
     return sampling.two_quotas(rows, 100, 4, 8).select("row_idx", "nhom", "nguon", "pick")
