@@ -10,10 +10,11 @@ Every link is checked on the whole sets; candidates come from two sources.
 3. The rest: each class has a sketch of BANDS x WIDTH minima, cut into bands.
    Two classes of similarity s share no band with a probability of
    (1 - s ** WIDTH) ** BANDS, which is 0.00003 at 4/5 and falls steeply above.
-   First every class is compared with the leader of each of its bands, twice
-   with different leaders: that joins large groups in proportion to their size.
-   What then shares a band without being joined is compared pair by pair, if
-   the sketches agree in LIKELY or more of their places.  Members of a band
+   First every class is compared with the leader of each of its bands, then, in
+   ROUNDS, with the partners of other groups whose sketches agree most: that
+   joins large groups in proportion to their size.  What then shares a band
+   without being joined is compared pair by pair, if the sketches agree in
+   LIKELY or more of their places.  Members of a band
    that are joined already are never paired, so a group of copies costs its
    size, not its square; work is quadratic only in the classes that share a
    band and yet are not similar.
@@ -39,12 +40,16 @@ from .ngram_exchange import mix, pack, unpack
 from .simhash import link_classes, majority, shingle_hashes
 
 SHINGLE, RADIUS = 5, 3
-BANDS, WIDTH, LIKELY = 20, 4, 0.6
+BANDS, WIDTH = 20, 4
+#: Further minima of a sketch, a byte each, and the share of all that has to agree.
+MORE, LIKELY = 160, 0.7
+#: Rounds in which each class is compared with its BEST likeliest partners of other groups in each band.
+ROUNDS, BEST = 2, 1
 #: Classes of one band that a task compares at a time, and rows of a shard of bands.
 CELL, SHARD = 4096, 1 << 17
 #: Shingle hashes are compared by so many bits.
 BITS = 40
-_DRAWN = np.random.default_rng(20).integers(0, 1 << 31, (2, BANDS * WIDTH), dtype=np.uint32)
+_DRAWN = np.random.default_rng(20).integers(0, 1 << 31, (2, BANDS * WIDTH + MORE), dtype=np.uint32)
 FACTORS, TERMS = _DRAWN[0] * np.uint32(2) + np.uint32(1), _DRAWN[1]
 
 
@@ -53,14 +58,20 @@ def overlap(a, b):
     return -(-4 * (a + b) // 9)
 
 
-def sketch(distinct: np.ndarray) -> np.ndarray:
-    """The minima of a set of hashes under BANDS x WIDTH orders."""
+def sketch(distinct: np.ndarray) -> bytes:
+    """The minima of a set of hashes under many orders: those of the bands, then the last bytes of MORE others."""
     folded = (distinct ^ (distinct >> np.uint64(32))).astype(np.uint32)
-    out = np.full(BANDS * WIDTH, 2**32 - 1, np.uint32)
+    out = np.full(len(FACTORS), 2**32 - 1, np.uint32)
     with np.errstate(over="ignore"):
-        for k in range(0, len(folded), 1024):
-            np.minimum(out, (folded[k : k + 1024, None] * FACTORS + TERMS).min(axis=0), out=out)
-    return out
+        for k in range(0, len(folded), 512):
+            np.minimum(out, (folded[k : k + 512, None] * FACTORS + TERMS).min(axis=0), out=out)
+    return out[: BANDS * WIDTH].tobytes() + out[BANDS * WIDTH :].astype(np.uint8).tobytes()
+
+
+def minima(column) -> tuple[np.ndarray, np.ndarray]:
+    """The minima of the bands and the further ones, a row for each sketch of an Arrow column."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BANDS * WIDTH * 4 + MORE)
+    return np.ascontiguousarray(raw[:, : BANDS * WIDTH * 4]).view("<u4"), raw[:, BANDS * WIDTH * 4 :]
 
 
 def band_keys(sketches: np.ndarray) -> np.ndarray:
@@ -85,7 +96,7 @@ def describe(docs: DataFrame, keep: list[str], text_col: str, shingle: int) -> D
                 hashes = shingle_hashes(text, shingle)
                 distinct = np.unique(hashes)
                 node = np.uint64(xxhash.xxh64_intdigest(distinct.tobytes(), 7)).view(np.int64)
-                found.append((int(node), len(distinct), int(np.uint64(majority(hashes)).view(np.int64)), sketch(distinct).tobytes()))
+                found.append((int(node), len(distinct), int(np.uint64(majority(hashes)).view(np.int64)), sketch(distinct)))
             cols = list(zip(*found, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*keep, "node", "n", "fp", "sketch"])
@@ -101,7 +112,7 @@ def shared_bands(classes: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(batch.num_rows, -1)
+            raw, _ = minima(batch.column("sketch"))
             node = np.repeat(batch.column("node").to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(band_keys(raw).ravel()), pa.array(node)], names=["h", "node"])
 
@@ -110,21 +121,12 @@ def shared_bands(classes: DataFrame) -> DataFrame:
     return materialize(skew_join(bands, several, "h"), "shared")
 
 
-def leaders(met: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (u, v) of each class and the leader of a band it is in, where the two are of different groups."""
-    rank = F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), "node")
+def leaders(met: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each class and the leader of a band it is in."""
+    rank = F.struct(F.xxhash64("node").alias("rank"), "node")
     first = met.groupBy("h").agg(F.min(rank)["node"].alias("v"))
     pairs = skew_join(met, first, "h").filter("node != v").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
-    return pairs if groups is None else other_groups(materialize(pairs, "pairs"), groups)
-
-
-def other_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different groups; classes that ``groups`` (node, grp) lacks are groups of their own."""
-    hot = {c: hot_keys(pairs, c) for c in ("u", "v")}
-    for c in ("u", "v"):
-        named = groups.select(F.col("node").alias(c), F.col("grp").alias(f"g{c}"))
-        pairs = skew_join(pairs, named, c, "left", hot=hot[c])
-    return pairs.filter(F.coalesce("gu", "u") != F.coalesce("gv", "v")).select("u", "v")
+    return pairs
 
 
 def joined(links: DataFrame) -> DataFrame:
@@ -137,8 +139,11 @@ def joined(links: DataFrame) -> DataFrame:
     return materialize(least.join(again, "u").select(F.col("u").alias("node"), F.least("grp", "g2").alias("grp")), "groups")
 
 
-def unjoined(met: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (u, v) that share a band, are of different groups and have sketches that agree enough."""
+def unjoined(met: DataFrame, groups: DataFrame, sketches: DataFrame, best: int | None = None) -> DataFrame:
+    """Pairs (u, v) that share a band, are of different groups and have sketches that agree enough.
+
+    ``best``: of each class outside a band's largest group only so many pairs a band, those that agree most.
+    """
     # a class is in BANDS bands at most, so no node is hot here
     rows = met.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
     rows = materialize(rows.select("h", "node", "grp"), "grouped")
@@ -157,7 +162,7 @@ def unjoined(met: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFram
 
         h, cell, node, grp = (table.column(c).to_numpy() for c in ("h", "cell", "node", "grp"))
         own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
-        raw = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u4").reshape(len(h), -1)
+        first, more = minima(table.column("sketch"))
         order = np.lexsort((own, cell, h))
         starts = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (cell[order][1:] != cell[order][:-1])])
         out = []
@@ -168,7 +173,10 @@ def unjoined(met: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFram
                 # strangers meet each other in the first cell alone
                 others = np.r_[strangers[k + 1 :], mine[len(strangers) :]] if cell[i] == 0 else mine[len(strangers) :]
                 others = others[grp[others] != grp[i]]
-                others = others[(raw[others] == raw[i]).mean(axis=1) >= LIKELY]
+                alike = ((first[others] == first[i]).sum(axis=1) + (more[others] == more[i]).sum(axis=1)) / len(FACTORS)
+                others, alike = others[alike >= LIKELY], alike[alike >= LIKELY]
+                if best is not None and len(others) > best:
+                    others = others[np.argpartition(-alike, best - 1)[:best]]
                 out.append(np.stack([np.full(len(others), node[i]), node[others]]))
         u, v = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"u": pa.array(np.maximum(u, v)), "v": pa.array(np.minimum(u, v))})
@@ -223,9 +231,12 @@ def components(docs: DataFrame, *, key: list[str], keep: list[str], text_col: st
     nodes = met.select("node").unionByName(close.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     wanted = materialize(classes.join(nodes, "node", "left_semi").select("node", *key), "wanted")
     sets = shingle_sets(docs, wanted, key, text_col, shingle)
-    links = similar(close.unionByName(leaders(met, None, 1)).distinct(), sets)
-    links = links.unionByName(similar(leaders(met, joined(links), 2), sets))
-    links = links.unionByName(similar(unjoined(met, joined(links), classes.select("node", "sketch")), sets))
+    links = similar(close.unionByName(leaders(met)).distinct(), sets)
+    sketches = classes.select("node", "sketch")
+    for _ in range(ROUNDS):
+        links = links.unionByName(similar(unjoined(met, joined(links), sketches, BEST), sets))
+    groups = materialize(connected_components(links).select("node", F.col("component").alias("grp")), "components")
+    links = links.unionByName(similar(unjoined(met, groups, sketches), sets))
     roots = connected_components(links).select("node", F.col("component").alias("root"))
     named = classes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return skew_join(rows.select(*key, *keep, "node"), named, "node")

@@ -91,5 +91,5 @@ def test_a_large_group_costs_its_size(spark):
     rows = spark.createDataFrame(data, COLUMNS)
     described = near_copies.describe(rows, ["doc_id"], "text", 5)
     met = near_copies.shared_bands(described)
-    assert near_copies.leaders(met, None, 1).count() <= 400 * near_copies.BANDS
+    assert near_copies.leaders(met).count() <= 400 * near_copies.BANDS
     assert [r.doc_id for r in simhash.deduplicate(rows).collect()] == [0]
