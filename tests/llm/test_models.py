@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import kneser_ney, mixing, secrets, simhash, stupid_backoff, token_counts
 from parley.llm.components import connected_components
-from parley.llm.ngram_exchange import Chunk, pack, unpack
+from parley.llm.ngram_exchange import Chunk, pack, unpack, word_hash
 
 from . import brute
 from .docs import COLUMNS, frame, rows
@@ -192,6 +192,33 @@ def test_kneser_ney(spark):
         assert math.log(r.perplexity) == pytest.approx(want, rel=1e-4)
 
 
+def test_kneser_ney_shards(spark):
+    """Counts in many shards, with hot words dealt over several of them, give the probabilities of one; models of two folds stay apart."""
+    rnd = random.Random(6)
+    words = ["the", "of", *(f"w{i}" for i in range(30))]
+    make = lambda: " ".join(rnd.choice(words[: rnd.choice((2, 32))]) for _ in range(rnd.randrange(1, 40)))
+    train, tests = [(i, make(), i % 2) for i in range(60)], [(i, make() + " unseen", i % 2) for i in range(30)]
+    columns = "doc_id bigint, text string, fold int"
+    hot = {word_hash(b"the"): 5, word_hash(b"of"): 2}
+    model = kneser_ney.collect_model(kneser_ney.fit(spark.createDataFrame(train, columns), fold_col="fold", shards=7, hot=hot))
+    got = {r.doc_id: r.perplexity for r in kneser_ney.score(spark.createDataFrame(tests, columns), model, keep=["doc_id"], fold_col="fold").collect()}
+    p = [kneser([t for _, t, f in train if f == fold])[0] for fold in (0, 1)]
+    for i, t, f in tests:
+        d = [None, None, *t.split()]
+        want = -sum(math.log(p[f](*x)) for x in zip(d, d[1:], d[2:], strict=False)) / (len(d) - 2)
+        assert math.log(got[i]) == pytest.approx(want, rel=1e-4)
+
+
+def test_all_trusted_documents_train(spark):
+    """Of many trusted documents each trains: words that one pair of them alone shares are known to both and to no threshold's surprise."""
+    docs = [(i, " ".join(f"q{i // 2}x{j}" for j in range(20)), "en") for i in range(9000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(9000)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.perplexity for r in kneser_ney.classify(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), labels).collect()}
+    # a pair that is parted by the halves is known; that is every second one
+    known = sum(got[i] < 100 and got[i + 1] < 100 for i in range(0, 9000, 2))
+    assert len(got) == 9000 and 2000 < known < 2500
+
+
 def test_classifier_tells_junk(spark):
     rnd = random.Random(9)
     words = [f"w{i}" for i in range(60)]
