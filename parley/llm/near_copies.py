@@ -13,11 +13,12 @@ Every link is checked on the whole sets; candidates come from two sources.
    First every class is compared with the leader of each of its bands, then, in
    ROUNDS, with the partners of other groups whose sketches agree most: that
    joins large groups in proportion to their size.  What then shares a band
-   without being joined is compared pair by pair, if the sketches agree in
-   LIKELY or more of their places.  Members of a band
-   that are joined already are never paired, so a group of copies costs its
-   size, not its square; work is quadratic only in the classes that share a
-   band and yet are not similar.
+   without being joined is compared within the band's task, pair by pair, if the
+   sketches agree in LIKELY or more of their places: the whole sets of such
+   classes go to that task, which returns no more links than join its groups.
+   Members of a band that are joined already are never compared, so a group of
+   copies costs its size, not its square; comparisons, but no rows, are quadratic
+   in the classes that share a band and yet are not similar.
 4. Links are joined to components.
 
 Sketches and ids move; texts are read once more, for the classes that share a
@@ -47,6 +48,8 @@ MORE, LIKELY = 160, 0.7
 ROUNDS, BEST = 2, 1
 #: Classes of one band that a task compares at a time, and rows of a shard of bands.
 CELL, SHARD = 4096, 1 << 17
+#: Bytes of sets and sketches of a shard where whole sets are compared.
+SHARD_BYTES = 32 << 20
 #: Shingle hashes are compared by so many bits.
 BITS = 40
 _DRAWN = np.random.default_rng(20).integers(0, 1 << 31, (2, BANDS * WIDTH + MORE), dtype=np.uint32)
@@ -139,45 +142,62 @@ def joined(links: DataFrame) -> DataFrame:
     return materialize(least.join(again, "u").select(F.col("u").alias("node"), F.least("grp", "g2").alias("grp")), "groups")
 
 
-def unjoined(met: DataFrame, groups: DataFrame, sketches: DataFrame, best: int | None = None) -> DataFrame:
-    """Pairs (u, v) that share a band, are of different groups and have sketches that agree enough.
-
-    ``best``: of each class outside a band's largest group only so many pairs a band, those that agree most.
-    """
+def cells(met: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(h, node, grp, own, cell, sketch) of the bands with classes of several groups, cut into cells where all pairs of these meet once."""
     # a class is in BANDS bands at most, so no node is hot here
     rows = met.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
     rows = materialize(rows.select("h", "node", "grp"), "grouped")
     sizes = rows.groupBy("h", "grp").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("h").agg(F.max_by("grp", F.struct("c", "grp")).alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    cells = F.ceil(F.col("c") / CELL).cast("int")
-    rows = skew_join(rows, main.select("h", "main", cells.alias("cells")), "h").withColumn("own", F.col("grp") == F.col("main"))
+    many = F.ceil(F.col("c") / CELL).cast("int")
+    rows = skew_join(rows, main.select("h", "main", many.alias("cells")), "h").withColumn("own", F.col("grp") == F.col("main"))
     # a band's largest group is dealt over its cells, the rest visits each of them
     place = F.when(F.col("own"), F.array(F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("cells") - 1))
     rows = rows.select("h", "node", "grp", "own", F.explode(place).alias("cell"))
-    rows = materialize(rows.join(sketches, "node"), "cells")
+    return materialize(rows.join(sketches, "node"), "cells")
+
+
+def likely(table, once: bool = False):
+    """Of each cell's strangers, (place, places, shares): the row, those rows of other groups whose sketches agree enough, and how far.
+
+    ``once``: pairs that share several bands in the first of them only.
+    """
+    h, cell, grp = (table.column(c).to_numpy() for c in ("h", "cell", "grp"))
+    own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
+    first, more = minima(table.column("sketch"))
+    bands = band_keys(first)
+    band = (bands == h[:, None]).argmax(axis=1)
+    order = np.lexsort((own, cell, h))
+    starts = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (cell[order][1:] != cell[order][:-1])])
+    for a, b in zip(starts, np.r_[starts[1:], len(h)], strict=True):
+        mine = order[a:b]
+        strangers = mine[~own[mine]]
+        for k, i in enumerate(strangers):
+            # strangers meet each other in the first cell alone
+            others = np.r_[strangers[k + 1 :], mine[len(strangers) :]] if cell[i] == 0 else mine[len(strangers) :]
+            others = others[grp[others] != grp[i]]
+            alike = ((first[others] == first[i]).sum(axis=1) + (more[others] == more[i]).sum(axis=1)) / len(FACTORS)
+            others, alike = others[alike >= LIKELY], alike[alike >= LIKELY]
+            if once and len(others):
+                here = (bands[others] == bands[i]).argmax(axis=1) == band[i]
+                others, alike = others[here], alike[here]
+            if len(others):
+                yield i, others, alike
+
+
+def unjoined(met: DataFrame, groups: DataFrame, sketches: DataFrame, best: int) -> DataFrame:
+    """Pairs (u, v) that share a band, are of different groups and have sketches that agree enough; of each class outside a band's largest group the ``best`` pairs a band."""
+    rows = cells(met, groups, sketches)
     shards = max(1, rows.count() // SHARD)
 
     def search(table):
         import pyarrow as pa
 
-        h, cell, node, grp = (table.column(c).to_numpy() for c in ("h", "cell", "node", "grp"))
-        own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
-        first, more = minima(table.column("sketch"))
-        order = np.lexsort((own, cell, h))
-        starts = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (cell[order][1:] != cell[order][:-1])])
-        out = []
-        for a, b in zip(starts, np.r_[starts[1:], len(h)], strict=True):
-            mine = order[a:b]
-            strangers = mine[~own[mine]]
-            for k, i in enumerate(strangers):
-                # strangers meet each other in the first cell alone
-                others = np.r_[strangers[k + 1 :], mine[len(strangers) :]] if cell[i] == 0 else mine[len(strangers) :]
-                others = others[grp[others] != grp[i]]
-                alike = ((first[others] == first[i]).sum(axis=1) + (more[others] == more[i]).sum(axis=1)) / len(FACTORS)
-                others, alike = others[alike >= LIKELY], alike[alike >= LIKELY]
-                if best is not None and len(others) > best:
-                    others = others[np.argpartition(-alike, best - 1)[:best]]
-                out.append(np.stack([np.full(len(others), node[i]), node[others]]))
+        node, out = table.column("node").to_numpy(), []
+        for i, others, alike in likely(table):
+            if len(others) > best:
+                others = others[np.argpartition(-alike, best - 1)[:best]]
+            out.append(np.stack([np.full(len(others), node[i]), node[others]]))
         u, v = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"u": pa.array(np.maximum(u, v)), "v": pa.array(np.minimum(u, v))})
 
@@ -185,6 +205,56 @@ def unjoined(met: DataFrame, groups: DataFrame, sketches: DataFrame, best: int |
     return dealt.groupBy("shard").applyInArrow(search, "u bigint, v bigint").distinct()
 
 
+def rest(met: DataFrame, groups: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between groups that share a band: whole sets of all likely pairs are compared, and of each cell as many links stay as join its groups."""
+    rows = cells(met, groups, sketches)
+    shards = max(1, rows.count() // SHARD)
+    shard = lambda df, n: df.withColumn("shard", F.pmod(F.xxhash64("h", "cell"), F.lit(n)))
+
+    def find(table):
+        """The rows that are in a likely pair."""
+        asked = np.zeros(len(table), bool)
+        for i, others, _ in likely(table, once=True):
+            asked[i] = asked[others] = True
+        return table.drop_columns(["shard"]).take(np.flatnonzero(asked))
+
+    def compare(table):
+        import pyarrow as pa
+
+        node, grp, packed = table.column("node").to_numpy(), table.column("grp").to_numpy(), table.column("s")
+        unpacked, root, out = {}, {}, []
+
+        def whole(i):
+            if node[i] not in unpacked:
+                unpacked[node[i]] = unpack(packed[int(i)].as_py())
+            return unpacked[node[i]]
+
+        def named(g):
+            while (up := root.get(g, g)) != g:
+                root[g] = root.get(up, up)
+                g = up
+            return g
+
+        for i, others, _ in likely(table, once=True):
+            a = whole(i)
+            for j in others:
+                x, y = named(grp[i]), named(grp[j])
+                if x == y:
+                    continue
+                b = whole(j)
+                if len(np.intersect1d(a, b, assume_unique=True)) >= overlap(len(a), len(b)):
+                    root[max(x, y)] = min(x, y)
+                    out.append((max(node[i], node[j]), min(node[i], node[j])))
+        u, v = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    found = shard(rows, shards).groupBy("shard").applyInArrow(find, rows.schema)
+    found = materialize(found.join(sets, "node"), "compared")
+    n, size = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("s") + F.octet_length("sketch"))).first()
+    shards = max(1, n // SHARD, int(size or 0) // SHARD_BYTES)
+    return materialize(shard(found, shards).groupBy("shard").applyInArrow(compare, "u bigint, v bigint").distinct(), "links")
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, key: list[str], text_col: str, shingle: int) -> DataFrame:
     """(node, s): packed sets of the classes in ``wanted`` (key, node)."""
 
@@ -236,7 +306,7 @@ def components(docs: DataFrame, *, key: list[str], keep: list[str], text_col: st
     for _ in range(ROUNDS):
         links = links.unionByName(similar(unjoined(met, joined(links), sketches, BEST), sets))
     groups = materialize(connected_components(links).select("node", F.col("component").alias("grp")), "components")
-    links = links.unionByName(similar(unjoined(met, groups, sketches), sets))
+    links = links.unionByName(rest(met, groups, sketches, sets))
     roots = connected_components(links).select("node", F.col("component").alias("root"))
     named = classes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return skew_join(rows.select(*key, *keep, "node"), named, "node")

@@ -93,3 +93,30 @@ def test_a_large_group_costs_its_size(spark):
     met = near_copies.shared_bands(described)
     assert near_copies.leaders(met).count() <= 400 * near_copies.BANDS
     assert [r.doc_id for r in simhash.deduplicate(rows).collect()] == [0]
+
+
+def test_texts_that_are_alike_but_not_similar_make_no_rows(spark):
+    """A large group below the bar, with a few similar pairs in it: all links are found, and the comparisons leave no more rows than links."""
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(4000)}" for _ in range(300)]
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for at in rnd.sample(range(300), 6):
+            copy[at] = f"x{rnd.randrange(10**6)}"
+        texts.append(copy)
+    texts += [[*t[:-1], "end"] for t in texts[:5]]
+    texts = [" ".join(t) for t in texts]
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], COLUMNS)
+    described = near_copies.describe(rows, ["doc_id"], "text", 5)
+    met, sketches = near_copies.shared_bands(described), described.select("node", "sketch")
+    sets = near_copies.shingle_sets(rows, described.select("doc_id", "node"), ["doc_id"], "text", 5)
+    links = near_copies.rest(met, spark.createDataFrame([], "node bigint, grp bigint"), sketches, sets).collect()
+    want = roots(texts)
+    name = dict(described.select("node", "doc_id").collect())
+    found = list(range(len(texts)))
+    for r in links:
+        a, b = found[name[r.u]], found[name[r.v]]
+        found = [min(a, b) if x in (a, b) else x for x in found]
+    assert found == want and len(set(want)) > 20
+    assert len(links) <= near_copies.BANDS * (len(texts) - len(set(want)))
