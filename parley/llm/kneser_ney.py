@@ -22,7 +22,8 @@ Counts lie in hash shards and scoring joins the documents' trigrams to them:
 3. Chunks of all documents send their trigrams the same way, each shard returns
    the sum of log probabilities for each of a chunk's documents, and these are
    added up.  Large corpora go through in SLICES, one after the other, so that
-   only a part of the trigrams lies on disk at a time.
+   only a part of the trigrams lies on disk at a time: a part's exchanges go as
+   soon as its perplexities are written.
 
 Defined results.  Null or word-less text has perplexity null and is kept.
 Null language is a language of its own.  Without trusted documents nothing is
@@ -32,13 +33,11 @@ empty table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, materialize, slices, small_join
+from .common import brief_exchanges, column_bytes, materialize, slices, small_join
 from .ngram_exchange import CHUNK_BYTES, Chunk, mix, narrow, pack, pack_bytes, unpack, unpack_bytes
 
 QUANTILE, MARGIN, MIN_HELD = 0.995, 1.1, 50
@@ -270,10 +269,11 @@ def fit(train: DataFrame, text_col: str = "text", fold_col: str | None = None, *
     hot = hot or {}
     fold = F.col(fold_col) if fold_col else F.lit(0)
     sent = train.select(fold.cast("int").alias("fold"), F.col(text_col).alias("text")).mapInArrow(_messages("text", "fold", shards, hot), WIRE)
-    counts = materialize(sent.groupBy("shard").applyInArrow(_count(shards, hot), WIRE), "counts")
-    if hot:
-        found = counts.filter(F.col("kind") == PART).groupBy("name").applyInArrow(_successors(shards, hot), WIRE)
-        counts = counts.filter(F.col("kind") != PART).unionByName(materialize(found, "successors"))
+    with brief_exchanges(train.sparkSession):
+        counts = materialize(sent.groupBy("shard").applyInArrow(_count(shards, hot), WIRE), "counts")
+        if hot:
+            found = counts.filter(F.col("kind") == PART).groupBy("name").applyInArrow(_successors(shards, hot), WIRE)
+            counts = counts.filter(F.col("kind") != PART).unionByName(materialize(found, "successors"))
     return {"counts": counts, "shards": shards, "hot": hot}
 
 
@@ -284,7 +284,8 @@ def collect_model(fitted: dict) -> dict:
     for r in counts.filter(F.col("kind") == TIMES).select("more").collect():
         fold, level, *n = np.frombuffer(r[0], np.int64).tolist()
         times[fold, level] += n
-    found = counts.filter(F.col("kind") == WORDS).groupBy("name").applyInArrow(_words, WIRE).select("name", "vocab", "c").toArrow().to_pylist()
+    with brief_exchanges(counts.sparkSession):
+        found = counts.filter(F.col("kind") == WORDS).groupBy("name").applyInArrow(_words, WIRE).select("name", "vocab", "c").toArrow().to_pylist()
     by_fold = []
     for fold in (0, 1):
         mine = [r for r in found if r["name"].startswith(f"{fold}.")]
@@ -439,7 +440,6 @@ def classify(
     margin: float = MARGIN,
 ) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept) for each row of ``docs``; ``train_docs``: only so many trusted documents train, all where it is None."""
-    spark = docs.sparkSession
     trusted = labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id")).distinct()
     trusted = materialize(trusted, "trusted")
     key = F.xxhash64(F.col("doc_id").cast("string"))
@@ -454,11 +454,9 @@ def classify(
     parts = SLICES if int(size or 0) > SLICED else 1
     scored = None
     for k in range(parts):
-        # the files of exchanges that are over go when the driver's references to them do
-        gc.collect()
-        spark._jvm.System.gc()
         part = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(parts)) == k)
-        done = materialize(score(part, model, keep=["doc_id", "lang"], fold_col="half"), "perplexity")
+        with brief_exchanges(docs.sparkSession):
+            done = materialize(score(part, model, keep=["doc_id", "lang"], fold_col="half"), "perplexity")
         scored = done if scored is None else scored.unionByName(done)
     scored = scored.withColumn("bin", F.ceil(F.log("perplexity") * BINS))
     counts = scored.filter("bin is not null").join(trusted, "doc_id", "left_semi")

@@ -3,6 +3,7 @@
 import math
 import random
 import string
+import time
 from collections import Counter
 
 import numpy as np
@@ -219,6 +220,36 @@ def test_all_trusted_documents_train(spark):
     assert len(got) == 9000 and 2000 < known < 2500
 
 
+def test_parts_leave_no_exchanges(spark, monkeypatch):
+    """When the counts or a part of the documents' perplexities are written, the exchanges that it took are no longer on disk."""
+    manager, write, left = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), kneser_ney.materialize, []
+
+    def shuffles():
+        files = manager.getAllFiles()
+        return {x for i in range(files.size()) if (x := files.apply(i).getName()).startswith("shuffle_") and x.endswith(".data")}
+
+    def watched(df, tag):
+        before, out = shuffles(), write(df, tag)
+        if tag in ("counts", "perplexity"):
+            for _ in range(50):  # they go within moments, though not at once
+                if not (now := shuffles() - before):
+                    break
+                time.sleep(0.1)
+            left.append(now)
+        return out
+
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words[(i * j) % 40] for j in range(1, 60)), "en") for i in range(300)], "doc_id bigint, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    whole = {r.doc_id: r.perplexity for r in kneser_ney.classify(docs, labels).collect()}
+    monkeypatch.setattr(kneser_ney, "SLICED", 0)
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 10_000)
+    monkeypatch.setattr(kneser_ney, "materialize", watched)
+    got = {r.doc_id: r.perplexity for r in kneser_ney.classify(docs, labels).collect()}
+    assert got == pytest.approx(whole, rel=1e-6) and len(got) == 300
+    assert len(left) == 1 + kneser_ney.SLICES and not any(left), left
+
+
 def test_classifier_tells_junk(spark):
     rnd = random.Random(9)
     words = [f"w{i}" for i in range(60)]
