@@ -25,10 +25,12 @@ DRAWN, BUCKETS = 1 << 22, 64
 
 
 def scored(labels: DataFrame, results: DataFrame) -> DataFrame:
-    """Labels joined to their results (id), with reference and hypothesis words and error counts by kind."""
-    rows = labels.join(results, "id").withColumn("ops", wer.alignment("text", "du_doan"))
-    count = lambda op: F.size(F.filter("ops", lambda o: o["op"] == op))
-    rows = rows.withColumn("n", F.size(F.filter("ops", lambda o: o["op"] != "insert"))).withColumn("sub", count("substitute")).withColumn("del", count("delete")).withColumn("ins", count("insert"))
+    """Labels joined to their results (id), with reference and hypothesis words and error counts by kind.
+
+    Words and operations are only made where they are asked for; counts don't need them.
+    """
+    rows = labels.join(results, "id").withColumn("__c", wer.counts("text", "du_doan")).withColumn("ops", wer.alignment("text", "du_doan"))
+    rows = rows.withColumn("n", wer.n_words(F.col("text"))).select("*", "__c.*").drop("__c")
     return rows.withColumn("errors", F.col("sub") + F.col("del") + F.col("ins"))
 
 

@@ -726,8 +726,9 @@ count(*) filter (where ord % 2 = 0 and errors > 0) as improved, 0::bigint as wor
 def q54_correction_effect(spark, d):
     rows = scores(spark, d).filter("cfg = 'sub5'")
     fixed = F.when(F.col("ord") % 2 == 0, F.col("text")).otherwise(F.col("du_doan"))
-    errors = F.size(F.filter(wer.alignment(F.col("text"), fixed), lambda o: o["op"] != "equal"))
-    return evaluate.correction_effect(rows.select("n", F.col("errors").alias("before"), errors.alias("after")))
+    after = wer.counts(F.col("text"), fixed)
+    rows = rows.select("n", F.col("errors").alias("before"), after.alias("c"))
+    return evaluate.correction_effect(rows.select("n", "before", F.expr("c.sub + c.del + c.ins").alias("after")))
 
 
 @query(f"""with {HEARD} select source, coalesce(string_agg(case when reason is null then text end, ' ' order by pos), '') as text, coalesce(list(text order by pos) filter (where reason is not null), []) as rejected,
