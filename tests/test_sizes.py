@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from parley.functions import wer
+from parley.functions import speech, wer
 from parley.operators import evaluate, reports
 
 
@@ -69,3 +69,13 @@ def test_python_runs_once_for_counts(spark):
     assert [tuple(r) for r in most.collect()] == [("a", 1, 3), ("d", 0, 3)]
     plan = most._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "alignment(" not in plan
+
+
+def test_sentences_memory_of_a_batch():
+    words = [{"start": i * 0.4, "end": i * 0.4 + 0.35, "word": f" w{i}." if i % 9 == 8 else f" W{i}", "probability": 1.0} for i in range(80)]
+    kind = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("word", pa.string()), ("probability", pa.float64())]))
+    batch = pa.concat_arrays([pa.array([words, None, []], kind), *[pa.array([words] * 500, kind)] * 8])
+    made = []
+    assert peak_mb(lambda: made.append(speech.sentences_of.func(batch))) < 20
+    assert made[0].slice(0, 3).to_pylist() == [speech.sentences(words), [], []] and len(made[0]) == 4003
+    assert [s["text"][-3:] for s in speech.sentences(words)][:2] == ["w8.", "17."]
