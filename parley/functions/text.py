@@ -10,18 +10,15 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import rx
+from .batches import of_text
 from .lexicon_clean import VIETNAMESE, CleaningLexicon
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+_nfc = of_text(lambda t: unicodedata.normalize("NFC", t))
 
 
 def nfc(text: Column) -> Column:
@@ -75,12 +72,7 @@ def drop_fillers(text: Column, lexicon: CleaningLexicon = VIETNAMESE) -> Column:
     """Text without fillers; rows without any filler word never go to Python."""
     if lexicon.fillers is None:
         return text
-    remove = filler_remover(lexicon)
-
-    @F.pandas_udf("string")
-    def removed(column: pd.Series) -> pd.Series:
-        return column.map(remove)
-
+    removed = of_text(filler_remover(lexicon))
     may = rx.search(text, rf"(?<!\w){lexicon.filler_word}(?!\w)|{lexicon.fillers}")
     return F.when(may, removed(F.when(may, text))).otherwise(text)
 

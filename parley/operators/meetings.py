@@ -1,13 +1,14 @@
 """Meeting extraction: people, tasks, decisions, next meeting, and the whole result row.
 
 One exchange by meeting serves all of it.  People of a meeting are gathered by
-a window over its sentences; tasks are a fold in Arrow groups; decisions and
-the next meeting are window expressions.
+a window over its sentences; tasks are a fold over a meeting's sentences, with
+many meetings in an Arrow batch; decisions and the next meeting are window
+expressions.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from .. import schema
 from ..functions import extract as ex
 from ..functions import lexicon_meeting as lx
 from ..functions import rx
+from ..functions.batches import mapped, slices
 
 # ---- predicates of one sentence, as expressions ----------------------------------------------
 
@@ -70,20 +72,27 @@ def is_decision(text: Column) -> Column:
     return has_decision_term(text) | is_regulation(text) | rx.search(text, lx.DISCOUNT)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def deadlines(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [] if t is None else ex.deadlines(t))
+TEXTS = pa.list_(pa.string())
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def names_in(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [] if t is None else sorted(ex.names_in(t)))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def deadlines(text: pa.Array) -> pa.Array:
+    return mapped(ex.deadlines, TEXTS, text.fill_null(""))
 
 
-@F.pandas_udf(T.StructType([T.StructField("owner", T.StringType()), T.StructField("acts", T.BooleanType())]))
-def owner_and_action(text: pd.Series, names: pd.Series) -> pd.DataFrame:
-    owners = [ex.owner_of(t or "", list(n)) for t, n in zip(text, names, strict=True)]
-    return pd.DataFrame({"owner": owners, "acts": [ex.is_actionable(t or "") for t in text]})
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def names_in(text: pa.Array) -> pa.Array:
+    return mapped(lambda t: sorted(ex.names_in(t)), TEXTS, text.fill_null(""))
+
+
+@F.arrow_udf(T.StructType([T.StructField("owner", T.StringType()), T.StructField("acts", T.BooleanType())]))
+def owner_and_action(text: pa.Array, names: pa.Array) -> pa.Array:
+    parts = []
+    for t, n in slices(text.fill_null(""), names):
+        texts = t.to_pylist()
+        owners = [ex.owner_of(x, known) for x, known in zip(texts, n.to_pylist(), strict=True)]
+        parts.append(pa.StructArray.from_arrays([pa.array(owners, pa.string()), pa.array([ex.is_actionable(x) for x in texts], pa.bool_())], ["owner", "acts"]))
+    return pa.concat_arrays(parts)
 
 
 def ordered_names(names: Column) -> Column:
@@ -102,30 +111,40 @@ def with_known_names(cleaned: DataFrame, out: str = "names") -> DataFrame:
     return cleaned.withColumn(out, ordered_names(found))
 
 
-def tasks(cleaned: DataFrame) -> DataFrame:
-    """(source, task, owner, deadline, start, n): tasks in the order of their making."""
+def _folded(cleaned: DataFrame, made, kind: str, arrow: pa.DataType) -> DataFrame:
+    """(source, n, x): the structs that ``made`` makes of a meeting's sentences in order and the names in them; a batch holds many meetings."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("stt")
-        sentences = list(pdf[["stt", "sach", "xa_giao", "start"]].itertuples(index=False, name=None))
-        names = ex.order_names(n for s in pdf["sach"] for n in ex.names_in(s))
-        found = ex.tasks_of(sentences, names)
-        return pd.DataFrame([(pdf["source"].iloc[0], t["task"], t["owner"], t["deadline"], t["start"], k) for k, t in enumerate(found)], columns=["source", "task", "owner", "deadline", "start", "n"])
+    @F.arrow_udf(f"array<{kind}>")
+    def of(meetings: pa.Array) -> pa.Array:
+        parts = []
+        for (some,) in slices(meetings):
+            found = []
+            for rows in some.to_pylist():
+                names = ex.order_names(n for r in rows for n in ex.names_in(r["sach"]))
+                found.append(made([(r["stt"], r["sach"], r["xa_giao"], r["start"]) for r in rows], names))
+            parts.append(pa.array(found, pa.list_(arrow)))
+        return pa.concat_arrays(parts)
 
-    return cleaned.select("source", "stt", "sach", "xa_giao", "start").groupBy("source").applyInPandas(fold, "source string, task string, owner string, deadline string, start double, n int")
+    listed = cleaned.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("stt", "sach", "xa_giao", "start"))).alias("xs"))
+    return listed.select("source", F.posexplode(of("xs")).alias("n", "x"))
+
+
+def tasks(cleaned: DataFrame) -> DataFrame:
+    """(source, task, owner, deadline, start, n): tasks in the order of their making."""
+    arrow = pa.struct([("task", pa.string()), ("owner", pa.string()), ("deadline", pa.string()), ("start", pa.float64())])
+    return _folded(cleaned, ex.tasks_of, "struct<task:string,owner:string,deadline:string,start:double>", arrow).select("source", "x.*", "n")
 
 
 def trace(cleaned: DataFrame) -> DataFrame:
     """(source, rule, stt, text, outcome): what the task fold decided, and why."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, notes = pdf.sort_values("stt"), []
-        sentences = list(pdf[["stt", "sach", "xa_giao", "start"]].itertuples(index=False, name=None))
-        names = ex.order_names(n for s in pdf["sach"] for n in ex.names_in(s))
-        ex.tasks_of(sentences, names, lambda *note: notes.append((pdf["source"].iloc[0], *note)))
-        return pd.DataFrame(notes, columns=["source", "rule", "stt", "text", "outcome"])
+    def notes(sentences: list[tuple], names: list[str]) -> list[dict]:
+        out = []
+        ex.tasks_of(sentences, names, lambda *note: out.append(dict(zip(("rule", "stt", "text", "outcome"), note, strict=True))))
+        return out
 
-    return cleaned.select("source", "stt", "sach", "xa_giao", "start").groupBy("source").applyInPandas(fold, "source string, rule string, stt int, text string, outcome string")
+    arrow = pa.struct([("rule", pa.string()), ("stt", pa.int32()), ("text", pa.string()), ("outcome", pa.string())])
+    return _folded(cleaned, notes, "struct<rule:string,stt:int,text:string,outcome:string>", arrow).select("source", "x.*")
 
 
 def carry_topics(sentences: DataFrame, accepted: Column, text: Column, topic: Column, continues: str = lx.CONTINUES) -> DataFrame:

@@ -6,8 +6,9 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from parley.functions import speech, wer
-from parley.operators import evaluate, reports
+from parley.functions import extract, speech, wer
+from parley.operators import evaluate, meetings, reports
+from parley.plans import catalog
 
 
 def peak_mb(call) -> float:
@@ -79,3 +80,19 @@ def test_sentences_memory_of_a_batch():
     assert peak_mb(lambda: made.append(speech.sentences_of.func(batch))) < 20
     assert made[0].slice(0, 3).to_pylist() == [speech.sentences(words), [], []] and len(made[0]) == 4003
     assert [s["text"][-3:] for s in speech.sentences(words)][:2] == ["w8.", "17."]
+
+
+def test_many_meetings_share_a_batch(spark):
+    said = catalog.SAID
+    rows = [(f"m{k}", i, said[(k + i * (1 + k % 3)) % len(said)], False, 4.0 * i) for k in range(300) for i in range(k % 7)]
+    cleaned = spark.createDataFrame(rows, "source string, stt int, sach string, xa_giao boolean, start double")
+    made = meetings.tasks(cleaned)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "FlatMapGroups" not in plan
+    want = set()
+    for m in {r[0] for r in rows}:
+        own = [r[1:] for r in rows if r[0] == m]
+        names = extract.order_names(n for r in own for n in extract.names_in(r[1]))
+        want |= {(m, t["task"], t["owner"], t["deadline"], t["start"], n) for n, t in enumerate(extract.tasks_of(own, names))}
+    got = [tuple(r) for r in made.collect()]
+    assert set(got) == want and len(got) == len(want) > 200 and made.columns == ["source", "task", "owner", "deadline", "start", "n"]
