@@ -96,3 +96,14 @@ def test_many_meetings_share_a_batch(spark):
         want |= {(m, t["task"], t["owner"], t["deadline"], t["start"], n) for n, t in enumerate(extract.tasks_of(own, names))}
     got = [tuple(r) for r in made.collect()]
     assert set(got) == want and len(got) == len(want) > 200 and made.columns == ["source", "task", "owner", "deadline", "start", "n"]
+
+
+def test_results_keep_meetings_together(spark):
+    said = catalog.SAID
+    rows = [(f"m{k}", i, i, "S", 4.0 * i, 4.0 * i + 3, t, t, t, False) for k in range(40) for i, t in enumerate(said[k % 5 :])]
+    cleaned = spark.createDataFrame(rows, "source string, pos int, stt int, speaker string, start double, `end` double, goc string, sach string, tach_tu string, xa_giao boolean")
+    found = meetings.results(cleaned, cleaned.select("source").distinct().selectExpr("source", "'' as summary"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan
+    got = {r.source: [(t.task, t.owner, t.deadline) for t in r.tasks] for r in found.collect()}
+    assert len(got) == 40 and got["m0"] == got["m35"] and any(o == "Lan" for _, o, _ in got["m0"])
