@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from parley.functions import extract, speech, wer
 from parley.operators import evaluate, meetings, reports
@@ -125,3 +126,15 @@ def test_plain_text_is_not_searched_for_every_rewrite(monkeypatch):
                 want = sub(pattern, by, want)
             want = " ".join(want.split())
         assert wer.normalise_for_scoring(text) == want
+
+
+COUNTS_ONLY = ["q30_worst_segments"]  # queries that need no operations
+OPERATIONS = []  # queries that do
+
+
+@pytest.mark.parametrize("name", [*COUNTS_ONLY, *OPERATIONS])
+def test_alignments_are_made_where_needed(spark, name):
+    made = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "counts(" in plan or name in OPERATIONS
+    assert ("alignment(" in plan) == (name in OPERATIONS) and "PythonUDF" not in plan.replace("pythonUDF", "")
