@@ -128,7 +128,7 @@ def test_plain_text_is_not_searched_for_every_rewrite(monkeypatch):
         assert wer.normalise_for_scoring(text) == want
 
 
-COUNTS_ONLY = ["q30_worst_segments"]  # queries that need no operations
+COUNTS_ONLY = ["q30_worst_segments", "q54_correction_effect"]  # queries that need no operations
 OPERATIONS = []  # queries that do
 
 
