@@ -46,20 +46,24 @@ def totals(rows: DataFrame, group: str = "nhom") -> DataFrame:
     return df.withColumn("wer", rate(F.col("errors"), F.col("n"))).withColumn("rtf", F.col("thoi_gian") / F.nullif(F.col("do_dai"), F.lit(0)))
 
 
+# Operations are exploded with rows that have none, and filtered after: of a plain explode Spark makes a filter on their number,
+# for which every text would be aligned twice.
+
+
 def _first_seen(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("ord", "k")).alias("seen"))
 
 
 def confusions(rows: DataFrame, order: str = "ord", k: int = TOP_PAIRS) -> DataFrame:
     """The most frequent substitutions (ref, hyp, count); of equal counts the one met first."""
-    events = rows.select(F.col(order).alias("ord"), F.posexplode("ops").alias("k", "o")).filter("o.op = 'substitute'").select("ord", "k", "o.ref", "o.hyp")
+    events = rows.select(F.col(order).alias("ord"), F.posexplode_outer("ops").alias("k", "o")).filter("o.op = 'substitute'").select("ord", "k", "o.ref", "o.hyp")
     return _first_seen(events, "ref", "hyp").orderBy(F.desc("count"), "seen").limit(k).select("ref", "hyp", "count")
 
 
 def frequent(rows: DataFrame, op: str, order: str = "ord", k: int = TOP_WORDS) -> DataFrame:
     """The words most often deleted or inserted."""
     side = "ref" if op == "delete" else "hyp"
-    events = rows.select(F.col(order).alias("ord"), F.posexplode("ops").alias("k", "o")).filter(F.col("o.op") == op).select("ord", "k", F.col(f"o.{side}").alias("word"))
+    events = rows.select(F.col(order).alias("ord"), F.posexplode_outer("ops").alias("k", "o")).filter(F.col("o.op") == op).select("ord", "k", F.col(f"o.{side}").alias("word"))
     return _first_seen(events, "word").orderBy(F.desc("count"), "seen").limit(k).select("word", "count")
 
 
@@ -70,7 +74,7 @@ def worst(rows: DataFrame, order: str = "ord", k: int = TOP_SEGMENTS) -> DataFra
 def by_position(rows: DataFrame, parts: Column, edge: int = wer.EDGE_WORDS) -> DataFrame:
     """Words, errors and deletions at the edges of parts and inside; ``parts``: array of word counts of a row's parts."""
     spans = F.transform(parts, lambda n, i: F.struct(F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + x).alias("a"), n.alias("n")))
-    events = rows.withColumn("spans", spans).select("spans", F.explode("ops").alias("o")).filter("o.op <> 'insert'")
+    events = rows.withColumn("spans", spans).select("spans", F.explode_outer("ops").alias("o")).filter("o.op <> 'insert'")
     own = F.filter("spans", lambda s: (F.col("o.pos") >= s["a"]) & (F.col("o.pos") < s["a"] + s["n"]))[0]
     at_edge = (F.col("o.pos") - own["a"] < edge) | (own["a"] + own["n"] - F.col("o.pos") <= edge)
     return events.groupBy(F.when(at_edge, "edge").otherwise("middle").alias("place")).agg(
@@ -82,7 +86,7 @@ def by_part(rows: DataFrame, parts: Column) -> DataFrame:
     """(id, part, n, errors): errors of long texts put down to the parts they were joined from; an insertion counts for the part before it."""
     ends = F.transform(parts, lambda n, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
     place = F.when(F.col("o.op") == "insert", F.greatest(F.col("o.pos") - 1, F.lit(0))).otherwise(F.col("o.pos"))
-    events = rows.withColumn("ends", ends).select("id", "ends", F.explode("ops").alias("o"))
+    events = rows.withColumn("ends", ends).select("id", "ends", F.explode_outer("ops").alias("o")).filter("o is not null")
     part = F.size(F.filter("ends", lambda e: e <= place))
     part = F.least(part, F.size("ends") - 1)
     return events.groupBy("id", part.alias("part")).agg(F.count_if(F.col("o.op") != "insert").alias("n"), F.count_if(F.col("o.op") != "equal").alias("errors"))
