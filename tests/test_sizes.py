@@ -129,7 +129,7 @@ def test_plain_text_is_not_searched_for_every_rewrite(monkeypatch):
 
 
 COUNTS_ONLY = ["q30_worst_segments", "q54_correction_effect", "q28_wer_grouping_sets", "q67_report_totals", "q57_groups_by_rate", "q59_against_parts", "q65_comparison"]  # queries that need no operations
-OPERATIONS = ["q53_position_class"]  # queries that do
+OPERATIONS = ["q53_position_class", "q29_confusions_topk"]  # queries that do
 
 
 @pytest.mark.parametrize("name", [*COUNTS_ONLY, *OPERATIONS])
