@@ -128,7 +128,7 @@ def test_plain_text_is_not_searched_for_every_rewrite(monkeypatch):
         assert wer.normalise_for_scoring(text) == want
 
 
-COUNTS_ONLY = ["q30_worst_segments", "q54_correction_effect", "q28_wer_grouping_sets", "q67_report_totals", "q57_groups_by_rate", "q59_against_parts", "q65_comparison", "q31_common_ids", "q27_wer_distance", "q33_config_spread"]  # queries that need no operations
+COUNTS_ONLY = ["q30_worst_segments", "q54_correction_effect", "q28_wer_grouping_sets", "q67_report_totals", "q57_groups_by_rate", "q59_against_parts", "q65_comparison", "q31_common_ids", "q27_wer_distance", "q33_config_spread", "q32_bootstrap_ci"]  # queries that need no operations
 OPERATIONS = ["q53_position_class", "q29_confusions_topk"]  # queries that do
 
 
