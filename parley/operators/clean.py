@@ -22,7 +22,10 @@ def clean_sentences(transcript: DataFrame, lexicon: CleaningLexicon = VIETNAMESE
     """
     segment = segment or (lambda c: c)
     rows = transcript.select("source", "pos", "speaker", "start", "end", F.col("text").alias("goc"), tx.clean(F.col("text"), lexicon).alias("sach"))
-    rows = renumber(rows.filter(~tx.is_blank(F.col("sach"))))
+    # numbered before blank ones go: Spark doesn't move a filter below a window, so a text is cleaned once and not once more for the filter
+    so_far = Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    said = ~tx.is_blank(F.col("sach"))
+    rows = rows.withColumn("stt", F.count(F.when(said, 1)).over(so_far).cast("int") - 1).filter(said)
     tokens: Column = tx.join_compounds(segment(F.col("sach")), lexicon)
     return rows.select("source", "pos", "stt", "speaker", "start", "end", "goc", "sach", tokens.alias("tach_tu"), tx.is_small_talk(F.col("sach"), lexicon).alias("xa_giao"))
 

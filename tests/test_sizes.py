@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from parley.functions import extract, speech, wer
-from parley.operators import evaluate, meetings, reports
+from parley.operators import clean, evaluate, meetings, reports
 from parley.plans import catalog
 
 
@@ -138,3 +138,12 @@ def test_alignments_are_made_where_needed(spark, name):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "counts(" in plan or name in OPERATIONS
     assert plan.count("ArrowEvalPython [alignment(") == (name in OPERATIONS)
+
+
+def test_texts_are_cleaned_once(spark):
+    plan = catalog.q03_clean_full(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # composition, fillers
+    rows = [("m", 2 * i, "S", 0.0, 1.0, t) for i, t in enumerate(["...", "One.", None, " - ", "Two.", "Réservé."])] + [("n", 0, "S", 0.0, 1.0, "!")]
+    got = clean.clean_sentences(spark.createDataFrame(rows, "source string, pos int, speaker string, start double, `end` double, text string"), catalog.ENGLISH)
+    assert sorted((r.source, r.pos, r.stt, r.goc) for r in got.collect()) == [("m", 2, 0, "One."), ("m", 8, 1, "Two."), ("m", 10, 2, "Réservé.")]
+    assert dict(got.dtypes)["stt"] == "int"
