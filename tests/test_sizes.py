@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from parley.functions import extract, speech, wer
+from parley.functions import extract, speech, text, wer
 from parley.operators import clean, evaluate, meetings, reports
 from parley.plans import catalog
 
@@ -147,3 +147,9 @@ def test_texts_are_cleaned_once(spark):
     got = clean.clean_sentences(spark.createDataFrame(rows, "source string, pos int, speaker string, start double, `end` double, text string"), catalog.ENGLISH)
     assert sorted((r.source, r.pos, r.stt, r.goc) for r in got.collect()) == [("m", 2, 0, "One."), ("m", 8, 1, "Two."), ("m", 10, 2, "Réservé.")]
     assert dict(got.dtypes)["stt"] == "int"
+
+
+def test_compounds_in_a_row(spark):
+    said = ["of the of the of the end", "In the  of_the\nin the", "of then of the", "xof the"]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    assert [r[0] for r in rows.select(text.join_compounds(rows.t, catalog.ENGLISH)).collect()] == ["of_the of_the of_the end", "In_the  of_the\nin_the", "of then of_the", "xof the"]
